@@ -8,12 +8,14 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows that are worked on at once in a Python worker.  Bounds the worker's memory, not the result.
-SLICE_ROWS = 256
+#: Rows, and bytes of text unless one text alone has more, that are worked on at once in a Python worker.  They bound
+#: the worker's memory, not the result.
+SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
 
 #: The folding used by every operator that compares words: ASCII capitals only.
 LOWER_AZ = {c: c + 32 for c in range(65, 91)}
@@ -48,8 +50,7 @@ def map_texts(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, text_col):
                 got = work([t or "" for t in part.column(text_col).to_pylist()])
                 left = [part.column(c) for c in kept]
                 if keep_rows:
@@ -62,6 +63,17 @@ def map_texts(
     return df.select(*cols).mapInArrow(run, out)
 
 
+def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most SLICE_ROWS rows and SLICE_BYTES of text, or one row."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        past = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+        to = max(at + 1, min(at + SLICE_ROWS, past))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def sha(data: str | bytes) -> str:
     return hashlib.sha256(data.encode() if isinstance(data, str) else data).hexdigest()
 
