@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import decontaminate, minhash, pieces, quality, token_counts, toxicity
+from nearfold.llm import decontaminate, licenses, minhash, pieces, quality, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_toxicity, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)}
+    return {f.__name__: f for f in (op4_toxicity, op5_licenses, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
