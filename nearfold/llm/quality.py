@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from nearfold.llm.chain import ChainField, fit_chain
 from nearfold.llm.labelled import id_crc, sample_ids, sampled
 from nearfold.llm.texts import map_texts
 from nearfold.llm.wordarrays import Hasher, mix
@@ -93,42 +94,12 @@ def feature_ids(bins: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 @dataclass
 class LineField:
-    weights: np.ndarray  # of each feature, for good against bad
-    turn: np.ndarray  # 2 x 2 log potentials of (label before, label)
-    begin: np.ndarray  # log potentials of the first line's label
+    field: ChainField
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def marginals(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(label) of each line (lines x 2), expected transitions (2 x 2), and P(label) of first lines summed."""
-        emit = np.zeros((len(ids), 2))
-        emit[:, 1] = np.clip(self.weights[ids].sum(axis=1), -30, 30)
-        count = np.diff(first)
-        order = np.argsort(-count, kind="stable")
-        begins, count = first[:-1][order], count[order]
-        local = np.exp(emit - emit.max(axis=1, keepdims=True))
-        turn, begin = np.exp(self.turn), np.exp(self.begin)
-        ahead, back = np.empty_like(local), np.ones_like(local)
-        steps = int(count[0]) if len(count) else 0
-        live = np.searchsorted(-count, -np.arange(steps), side="left")  # texts with more than t lines
-        for t in range(steps):
-            at = begins[: live[t]] + t
-            p = local[at] * (begin if t == 0 else ahead[at - 1] @ turn)
-            ahead[at] = p / p.sum(axis=1, keepdims=True)
-        moved = np.zeros((2, 2))
-        for t in range(steps - 1, 0, -1):
-            at = begins[: live[t]] + t
-            inner = local[at] * back[at]
-            joint = ahead[at - 1][:, :, None] * turn[None] * inner[:, None, :]
-            moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            p = inner @ turn.T
-            back[at - 1] = p / p.sum(axis=1, keepdims=True)
-        post = ahead * back
-        post /= post.sum(axis=1, keepdims=True)
-        return post, moved, post[first[:-1]].sum(axis=0)
-
     def raw(self, bins: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted mean probability of good lines of each text."""
-        post, _, _ = self.marginals(feature_ids(bins, first), first)
+        post, _, _ = self.field.marginals(feature_ids(bins, first), first)
         w = size + 1.0
         return np.add.reduceat(post[:, 1] * w, first[:-1]) / np.add.reduceat(w, first[:-1])
 
@@ -141,31 +112,14 @@ class LineField:
 
 
 def fit_field(bins: np.ndarray, size: np.ndarray, first: np.ndarray, labels: np.ndarray) -> LineField:
-    """Maximum conditional likelihood by Adam steps over the whole sample."""
-    field = LineField(np.zeros(3 * STATS * (BINS + 1)), np.zeros((2, 2)), np.zeros(2))
+    """A field on lines that take their document's label, and the curve from mean marginals to labels."""
+    features = 3 * STATS * (BINS + 1) + 1
     if len(labels) == 0 or labels.min() == labels.max():
-        return LineField(field.weights, field.turn, field.begin, (0.0, 0.0))
-    ids = feature_ids(bins, first)
-    count = np.diff(first)
-    truth = np.repeat(labels, count)
-    weight = np.bincount(ids.ravel(), weights=np.repeat(truth, ids.shape[1]), minlength=len(field.weights))
-    moves = np.zeros((2, 2))
-    for v in (0, 1):
-        moves[v, v] = (count - 1)[labels == v].sum()
-    starts = np.array([(labels == 0).sum(), (labels == 1).sum()], dtype=float)
-    n = len(labels)
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (field.weights, field.turn, field.begin)]
-    for step in range(1, EPOCHS + 1):
-        post, moved, begun = field.marginals(ids, first)
-        expected = np.bincount(ids.ravel(), weights=np.repeat(post[:, 1], ids.shape[1]), minlength=len(field.weights))
-        for (m, v), x, g in zip(state, (field.weights, field.turn, field.begin), (weight - expected, moves - moved, starts - begun), strict=True):
-            g = g / n - DECAY * x
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    m = np.clip(field.raw(bins, size, first), 1e-6, 1 - 1e-6)
-    field.curve = logistic_curve(np.log(m / (1 - m)), labels)
-    return field
+        return LineField(ChainField(np.zeros(features), np.zeros((2, 2)), np.zeros(2)), (0.0, 0.0))
+    line = LineField(fit_chain(feature_ids(bins, first), first, np.repeat(labels, np.diff(first)), features, EPOCHS, RATE, DECAY))
+    m = np.clip(line.raw(bins, size, first), 1e-6, 1 - 1e-6)
+    line.curve = logistic_curve(np.log(m / (1 - m)), labels)
+    return line
 
 
 def logistic_curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
