@@ -200,18 +200,19 @@ class PieceCodec:
 
 
 def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`id_col`, n_tokens, ids (array<int>) and decoded (string) for every row; `path`: a SentencePiece .model."""
+    """`id_col`, n_tokens, ids (array<int>) and decoded_sha256 for every row; `path`: a SentencePiece .model."""
 
     def make():
         codec = PieceCodec(path)
 
         def work(texts: list[str]) -> tuple[list, ...]:
             n, ids, back = codec.digest(texts)
-            return n, [[int(i) for i in x.split(",")] if x else [] for x in ids], back
+            flat = np.array(",".join(x for x in ids if x).split(","), dtype=np.int32) if any(n) else np.zeros(0, np.int32)
+            return n, np.split(flat, np.cumsum(n)[:-1]), [sha(x) for x in back]
 
         return work
 
-    fields = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())]
+    fields = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), ("decoded_sha256", T.StringType())]
     return map_texts(docs, text_col, [id_col], fields, make)
 
 
