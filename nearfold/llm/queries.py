@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import decontaminate, htmlpages, licenses, minhash, pieces, quality, token_counts, toxicity
+from nearfold.llm import decontaminate, htmlpages, licenses, minhash, pieces, pivots, quality, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlpages.extract_pages(_read(spark, sf_dir, "pages"))
 
 
+def op3_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_query(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html, op4_toxicity, op5_licenses, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)}
+    return {f.__name__: f for f in (op2_html, op3_pivots, op4_toxicity, op5_licenses, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
