@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import decontaminate, htmlpages, licenses, minhash, pieces, pivots, quality, token_counts, toxicity
+from nearfold.llm import decontaminate, htmlpages, licenses, lm_score, minhash, pieces, pivots, quality, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmlpages.extract_pages(_read(spark, sf_dir, "pages"))
 
@@ -51,7 +55,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_html, op3_pivots, op4_toxicity, op5_licenses, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)}
+    return {f.__name__: f for f in (op1_lm_scores, op2_html, op3_pivots, op4_toxicity, op5_licenses, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
