@@ -1,15 +1,332 @@
-"""The engine's own queries by name, with their SQL."""
+"""The engine's own queries by name, each over the whole `embeddings` table, with equivalent SQL where SQL can say it.
+
+Positions for the one-epoch queries are not random: 1e-4 times the first two components of each vector.  Results that
+would vanish in rounding are scaled, and everything is rounded, on both sides alike.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from nearfold.operators import affinity, cells, layout, neighbors, quality
+from nearfold.plans.tsne import TSNE
+from nearfold.sources.csv_files import load_csv
+
+PERPLEXITY, K = 20.0, 60
+THETA, DEPTH = 0.5, 5
+RATE, MOMENTUM = 200.0, 0.5
+#: Schedule of the whole fits: vectors without clusters shrink while P is exaggerated, so that phase is kept short.
+FIT = {"epochs": 300, "stop_lying_epoch": 20, "momentum_switch_epoch": 20}
+
+
+def _r(c, digits: int = 6):
+    """Rounded, and never -0."""
+    return F.round(c, digits) + F.lit(0.0)
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return neighbors.samples(spark.read.parquet(f"{d}/embeddings.parquet"), "vec_id", "embedding")
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return _points(spark, d).select("id", (F.col("v")[0] * 1e-4).alias("y0"), (F.col("v")[1] * 1e-4).alias("y1"))
+
+
+def _near(spark, d):
+    return neighbors.knn(_points(spark, d), K)
+
+
+def _rows(spark, d):
+    return affinity.bandwidths(_near(spark, d), PERPLEXITY)
+
+
+def _sparse(spark, d):
+    return affinity.symmetric(affinity.conditional(_rows(spark, d)))
+
+
+def _dense(spark, d):
+    return affinity.dense_joint(affinity.dense_rows(_points(spark, d), PERPLEXITY))
+
+
+def src_vectors(spark, d):
+    at = F.posexplode("v").alias("k", "x")
+    return _points(spark, d).select("id", at).select("id", "k", _r("x").alias("x"))
+
+
+def pairwise_distance(spark, d):
+    return neighbors.pairwise(_points(spark, d)).select("i", "j", _r("d").alias("d"))
+
+
+def pairwise_full(spark, d):
+    return neighbors.mirrored(neighbors.pairwise(_points(spark, d))).groupBy("i").agg(F.count("*").alias("n"), _r(F.sum("d")).alias("d_sum"), _r(F.min("d")).alias("d_min"))
+
+
+def knn(spark, d):
+    return _near(spark, d).select("i", "rk", "j", _r("d").alias("d"))
+
+
+def knn_mutual(spark, d):
+    return neighbors.knn_mutual(_near(spark, d))
+
+
+def knn_oneway(spark, d):
+    return neighbors.knn_oneway(_near(spark, d))
+
+
+def beta_search(spark, d):
+    return _rows(spark, d).select("i", _r("beta").alias("beta"), "tries", "found")
+
+
+def row_entropy(spark, d):
+    return _rows(spark, d).select("i", _r("entropy").alias("entropy"))
+
+
+def p_conditional(spark, d):
+    return affinity.conditional(_rows(spark, d)).select("i", "j", _r("p").alias("p"))
+
+
+def p_symmetric(spark, d):
+    return _sparse(spark, d).select("i", "j", _r("p").alias("p"))
+
+
+def p_degree(spark, d):
+    return affinity.degrees(_sparse(spark, d))
+
+
+def p_row_offsets(spark, d):
+    return affinity.row_offsets(_sparse(spark, d))
+
+
+def p_normalized(spark, d):
+    return affinity.normalized(_sparse(spark, d)).select("i", "j", _r(F.col("p") * 1e3).alias("p_e3"))
+
+
+def p_exact_joint(spark, d):
+    return _dense(spark, d).select("i", "j", _r("p").alias("p"))
+
+
+def q_exact(spark, d):
+    y = _positions(spark, d).select(F.col("id"), F.array("y0", "y1").alias("v"))
+    total = layout.q_total(neighbors.pairwise(y, "sqeuclidean"), y.count())
+    return total.select(_r("q_total", 3).alias("q_total"))
+
+
+def exact_gradient(spark, d):
+    g = layout.exact_gradient(affinity.normalized(_dense(spark, d)), _positions(spark, d))
+    return g.select("id", _r(F.col("g0") * 1e8, 4).alias("g0_e8"), _r(F.col("g1") * 1e8, 4).alias("g1_e8"))
+
+
+def attractive_forces(spark, d):
+    f = layout.attraction(affinity.normalized(_sparse(spark, d)), _positions(spark, d))
+    return f.select("id", _r(F.col("f0") * 1e8, 4).alias("f0_e8"), _r(F.col("f1") * 1e8, 4).alias("f1_e8"))
+
+
+def bh_root_cell(spark, d):
+    return cells.root_cell(_positions(spark, d)).select(*(_r(F.col(c) * 1e6).alias(f"{c}_e6") for c in ("c0", "w0", "c1", "w1")))
+
+
+def bh_cells(spark, d):
+    t = cells.cell_table(_positions(spark, d), DEPTH)
+    return t.select("level", "k0", "k1", "n", *(_r(F.col(c) * 1e6).alias(f"{c}_e6") for c in ("m0", "m1", "w")), "leaf")
+
+
+def _away(spark, d):
+    return cells.repulsion(_positions(spark, d), THETA, DEPTH)
+
+
+def bh_repulsion(spark, d):
+    return _away(spark, d).select("id", _r(F.col("r0") * 1e4, 4).alias("r0_e4"), _r(F.col("r1") * 1e4, 4).alias("r1_e4"), _r("q", 4).alias("q"))
+
+
+def _bh_gradient(spark, d):
+    f = layout.attraction(affinity.normalized(_sparse(spark, d)), _positions(spark, d))
+    return layout.gradient(f.join(_away(spark, d), "id"), 2)
+
+
+def bh_gradient(spark, d):
+    return _bh_gradient(spark, d).select("id", _r(F.col("g0") * 1e8, 4).alias("g0_e8"), _r(F.col("g1") * 1e8, 4).alias("g1_e8"))
+
+
+def update_step(spark, d):
+    """One step from made-up velocities and gains: the second and third components of each vector stand for them."""
+    v = _points(spark, d)
+    at = lambda k: F.col("v")[k]
+    state = v.select("id", at(0).alias("y0"), at(1).alias("y1"), at(2).alias("u0"), at(3).alias("u1"), (at(4) + 1).alias("gain0"), (at(5) + 1).alias("gain1"), at(6).alias("g0"), at(7).alias("g1"))
+    after = layout.update(state, RATE, MOMENTUM, 2)
+    return after.select("id", *(_r(c).alias(c) for c in ("y0", "y1", "u0", "u1", "gain0", "gain1")))
+
+
+def zero_mean(spark, d):
+    return layout.zero_mean(_positions(spark, d)).select("id", _r(F.col("y0") * 1e4).alias("y0_e4"), _r(F.col("y1") * 1e4).alias("y1_e4"))
+
+
+def exaggeration_schedule(spark, d):
+    rows = [(e, layout.exaggeration(e, 250), layout.momentum(e, 250, 0.5, 0.8)) for e in range(300)]
+    return spark.createDataFrame(rows, "epoch int, exaggeration double, momentum double")
+
+
+def _step(spark, d, g):
+    state = layout.fresh(_positions(spark, d)).join(g, "id")
+    y = layout.zero_mean(layout.update(state, RATE, MOMENTUM, 2))
+    return y.select("id", _r(F.col("y0") * 1e4).alias("y0_e4"), _r(F.col("y1") * 1e4).alias("y1_e4"))
+
+
+def exact_step(spark, d):
+    return _step(spark, d, layout.exact_gradient(affinity.normalized(_dense(spark, d)), _positions(spark, d)))
+
+
+def bh_step(spark, d):
+    return _step(spark, d, _bh_gradient(spark, d))
+
+
+def _q(spark, d, less: int):
+    y = _positions(spark, d).select(F.col("id"), F.array("y0", "y1").alias("v"))
+    return layout.q_total(neighbors.pairwise(y, "sqeuclidean"), less * y.count())
+
+
+def kl_exact(spark, d):
+    return quality.divergence(_dense(spark, d), _positions(spark, d), _q(spark, d, 1)).select(_r("kl").alias("kl"))
+
+
+def kl_sparse(spark, d):
+    return quality.divergence(_sparse(spark, d), _positions(spark, d), _q(spark, d, 0)).select(_r("kl").alias("kl"))
+
+
+def tsne_exact(spark, d):
+    return TSNE(**FIT).exact(spark.read.parquet(f"{d}/embeddings.parquet"), id_col="vec_id", sample_col="embedding").embedding()
+
+
+def tsne_bh(spark, d):
+    return TSNE(**FIT).barnes_hut(spark.read.parquet(f"{d}/embeddings.parquet"), THETA, id_col="vec_id", sample_col="embedding").embedding()
+
+
+def csv_roundtrip(spark, d):
+    """The first eight components and the label written as CSV to the folder all executors share, read again without
+    the label."""
+    from nearfold.sources.folders import shared_folder
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    rows = _points(spark, d).select("id", *(F.col("v")[k].alias(f"c{k}") for k in range(8)), F.lit("a, \"quoted\" label").alias("label"))
+    rows.write.csv(path, header=True, escape='"')
+    back = load_csv(spark, path, True, skip=[9])
+    return back.select(F.col("v")[0].cast("long").alias("id"), *(_r(F.col("v")[k + 1]).alias(f"c{k}") for k in range(8)))
+
+
+_ALL = (
+    src_vectors, pairwise_distance, pairwise_full, knn, knn_mutual, knn_oneway, beta_search, row_entropy, p_conditional, p_symmetric, p_degree, p_row_offsets, p_normalized, p_exact_joint,
+    q_exact, exact_gradient, attractive_forces, bh_root_cell, bh_cells, bh_repulsion, bh_gradient, update_step, zero_mean, exaggeration_schedule, exact_step, bh_step, kl_exact, kl_sparse,
+    tsne_exact, tsne_bh, csv_roundtrip,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in _ALL}
+
+
+# ---- SQL ----
+
+_EPS, _MIN = "2.220446049250313e-16", "2.2250738585072014e-308"
+_CTE = {
+    "v": "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)",
+    "y": "y AS (SELECT id, e[1] * 1e-4 AS y0, e[2] * 1e-4 AS y1 FROM v)",
+    "dist": "dist AS (SELECT a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a JOIN v b ON a.id <> b.id)",
+    "knn": f"knn AS (SELECT i, j, d, rk FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM dist) WHERE rk <= {K})",
+    "nb": "nb AS (SELECT i, list(d * d ORDER BY d, j) AS ds FROM knn GROUP BY i)",
+    "nbx": "nbx AS (SELECT i, list(d * d ORDER BY j) AS ds FROM (SELECT i, j, d FROM dist UNION ALL SELECT id, id, 0.0 FROM v) GROUP BY i)",
+    "psym": "psym AS (SELECT i, j, sum(p) AS p FROM (SELECT i, j, p / 2 AS p FROM cond UNION ALL SELECT j, i, p / 2 FROM cond) GROUP BY i, j)",
+    "pnorm": f"pnorm AS (SELECT i, j, 12.0 * p / ((SELECT sum(p) FROM psym) + {_EPS}) AS p FROM psym)",
+    "pex": "pex AS (SELECT i, j, sum(p) AS p FROM (SELECT i, j, p FROM condx UNION ALL SELECT j, i, p FROM condx WHERE i <> j) GROUP BY i, j)",
+    "pexn": f"pexn AS (SELECT i, j, 12.0 * p / ((SELECT sum(p) FROM pex) + {_EPS}) AS p FROM pex)",
+    "qq": "qq AS (SELECT a.id AS i, b.id AS j, a.y0 - b.y0 AS d0, a.y1 - b.y1 AS d1, 1 / (1 + (a.y0 - b.y0) * (a.y0 - b.y0) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS q FROM y a, y b)",
+    "gex": "gex AS (SELECT i AS id, sum((p - q / (SELECT sum(q) FROM qq)) * q * d0) AS g0, sum((p - q / (SELECT sum(q) FROM qq)) * q * d1) AS g1 FROM pexn JOIN qq USING (i, j) GROUP BY i)",
+    "att": "att AS (SELECT i AS id, sum(p * q * d0) AS f0, sum(p * q * d1) AS f1 FROM pnorm JOIN qq USING (i, j) GROUP BY i)",
+    "root": f"root AS (SELECT avg(y0) AS c0, greatest(max(y0) - avg(y0), avg(y0) - min(y0)) + {_MIN} AS w0, avg(y1) AS c1, greatest(max(y1) - avg(y1), avg(y1) - min(y1)) + {_MIN} AS w1 FROM y)",
+    "placed": f"placed AS (SELECT id, y0, y1, lv::INT AS level, greatest(w0, w1) AS w, least(greatest(floor((y0 - (c0 - w0)) * pow(2, lv) / (2 * w0)), 0), pow(2, lv) - 1)::BIGINT AS k0, least(greatest(floor((y1 - (c1 - w1)) * pow(2, lv) / (2 * w1)), 0), pow(2, lv) - 1)::BIGINT AS k1 FROM y, root, range(0, {DEPTH + 1}) r(lv))",
+    "cells": f"cells AS (SELECT level, k0, k1, count(*) AS n, avg(y0) AS m0, avg(y1) AS m1, any_value(w) / pow(2, level) AS w, ((min(y0) = max(y0) AND min(y1) = max(y1)) OR level = {DEPTH}) AS leaf FROM placed GROUP BY level, k0, k1)",
+    "walk": f"""walk AS (
+        SELECT y.id, y.y0, y.y1, c.level, c.k0, c.k1, c.n, c.m0, c.m1, c.leaf, (c.leaf OR c.w < {THETA} * sqrt((y.y0 - c.m0) * (y.y0 - c.m0) + (y.y1 - c.m1) * (y.y1 - c.m1))) AS take FROM y JOIN cells c ON c.level = 0
+        UNION ALL
+        SELECT f.id, f.y0, f.y1, c.level, c.k0, c.k1, c.n, c.m0, c.m1, c.leaf, (c.leaf OR c.w < {THETA} * sqrt((f.y0 - c.m0) * (f.y0 - c.m0) + (f.y1 - c.m1) * (f.y1 - c.m1))) FROM walk f JOIN cells c ON c.level = f.level + 1 AND c.k0 // 2 = f.k0 AND c.k1 // 2 = f.k1 WHERE NOT f.take)""",
+    "taken": "taken AS (SELECT w.id, w.y0 - w.m0 AS d0, w.y1 - w.m1 AS d1, w.n - CASE WHEN w.leaf AND p.id IS NOT NULL THEN 1 ELSE 0 END AS n, 1 / (1 + (w.y0 - w.m0) * (w.y0 - w.m0) + (w.y1 - w.m1) * (w.y1 - w.m1)) AS q FROM walk w LEFT JOIN placed p ON p.id = w.id AND p.level = w.level AND p.k0 = w.k0 AND p.k1 = w.k1 WHERE w.take)",
+    "rep": "rep AS (SELECT id, sum(n * q * q * d0) AS r0, sum(n * q * q * d1) AS r1, sum(n * q) AS q FROM taken GROUP BY id)",
+    "gbh": "gbh AS (SELECT id, f0 - r0 / (SELECT sum(q) FROM rep) AS g0, f1 - r1 / (SELECT sum(q) FROM rep) AS g1 FROM att JOIN rep USING (id))",
+}
+
+
+def _search(rows: str, name: str) -> str:
+    """The bisection of every row's beta; `name`_last has each row's last try."""
+    terms = "list_sum(list_transform(ds, lambda z: exp(-beta * z)))", "list_sum(list_transform(ds, lambda z: exp(-beta * z) * z))"
+    target = f"ln({PERPLEXITY}::DOUBLE)"
+    return f"""{name} AS (
+        SELECT i, 0 AS tries, 1.0::DOUBLE AS beta, NULL::DOUBLE AS lo, NULL::DOUBLE AS hi, false AS found, 0.0::DOUBLE AS used, 0.0::DOUBLE AS s, 0.0::DOUBLE AS h FROM {rows}
+        UNION ALL
+        SELECT i, tries + 1, CASE WHEN abs(h1 - {target}) < 1e-5 THEN beta WHEN h1 - {target} > 0 THEN coalesce((beta + hi) / 2, beta * 2) ELSE coalesce((beta + lo) / 2, beta / 2) END,
+            CASE WHEN abs(h1 - {target}) >= 1e-5 AND h1 - {target} > 0 THEN beta ELSE lo END, CASE WHEN abs(h1 - {target}) >= 1e-5 AND h1 - {target} <= 0 THEN beta ELSE hi END,
+            abs(h1 - {target}) < 1e-5, beta, s1, h1
+        FROM (SELECT *, beta * t1 / s1 + ln(s1) AS h1 FROM (SELECT x.i, x.tries, x.beta, x.lo, x.hi, {terms[0]} + {_MIN} AS s1, {terms[1]} AS t1 FROM {name} x JOIN {rows} USING (i) WHERE NOT found AND tries < 200))),
+    {name}_last AS (SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY i ORDER BY tries DESC) = 1)"""
+
+
+_CTE["beta"] = _search("nb", "search")
+_CTE["cond"] = f"cond AS (SELECT i, j, exp(-used * d * d) / (s + {_EPS}) AS p FROM knn JOIN search_last USING (i))"
+_CTE["betax"] = _search("nbx", "searchx")
+_CTE["condx"] = f"condx AS (SELECT i, j, exp(-used * d * d) / (s + {_EPS}) AS p FROM (SELECT i, j, d FROM dist UNION ALL SELECT id, id, 0.0 FROM v) JOIN searchx_last USING (i))"
+_NEAR, _SPARSE = ["v", "dist", "knn"], ["v", "dist", "knn", "nb", "beta", "cond", "psym"]
+_DENSE = ["v", "dist", "nbx", "betax", "condx", "pex"]
+_TREE = ["root", "placed", "cells", "walk", "taken", "rep"]
+
+
+def _sql(ctes: list[str], select: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(_CTE[c] for c in ctes) + "\n" + select
+
+
+def _round(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0"
+
+
+def _one_step(g: str) -> str:
+    """From velocity 0 and gain 1: the sign of 0 counts as positive."""
+    step = [f"y{k} - {RATE} * (CASE WHEN g{k} < 0 THEN 1.2 ELSE 0.8 END) * g{k}" for k in range(2)]
+    return f"SELECT id, {', '.join(_round(f'(x{k} - avg(x{k}) OVER ()) * 1e4') + f' AS y{k}_e4' for k in range(2))} FROM (SELECT id, {step[0]} AS x0, {step[1]} AS x1 FROM y JOIN {g} USING (id))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    gain = "greatest(CASE WHEN (e[{g}] < 0) <> (e[{u}] < 0) THEN e[{n}] + 1 + 0.2 ELSE (e[{n}] + 1) * 0.8 END, 0.01)"
+    g0, g1 = gain.format(g=7, u=3, n=5), gain.format(g=8, u=4, n=6)
+    u0, u1 = f"({MOMENTUM} * e[3] - {RATE} * {g0} * e[7])", f"({MOMENTUM} * e[4] - {RATE} * {g1} * e[8])"
+    kl = "SELECT round(sum(s * ln((s + {m}) / (q / {total} + {m}))), 6) + 0.0 AS kl FROM (SELECT i, j, p / (SELECT sum(p) FROM {p}) AS s FROM {p}) JOIN qq USING (i, j)"
+    return {
+        "src_vectors": _sql(["v"], f"SELECT id, (k - 1)::INT AS k, {_round('e[k]')} AS x FROM v, range(1, 65) t(k) WHERE k <= len(e)"),
+        "pairwise_distance": _sql(["v", "dist"], f"SELECT i, j, {_round('d')} AS d FROM dist WHERE i < j"),
+        "pairwise_full": _sql(["v", "dist"], f"SELECT i, count(*) AS n, {_round('sum(d)')} AS d_sum, {_round('min(d)')} AS d_min FROM dist GROUP BY i"),
+        "knn": _sql(_NEAR, f"SELECT i, rk::INT AS rk, j, {_round('d')} AS d FROM knn"),
+        "knn_mutual": _sql(_NEAR, "SELECT a.i, a.j FROM knn a JOIN knn b ON a.i = b.j AND a.j = b.i"),
+        "knn_oneway": _sql(_NEAR, "SELECT i, j FROM knn a WHERE NOT EXISTS (SELECT 1 FROM knn b WHERE b.i = a.j AND b.j = a.i)"),
+        "beta_search": _sql(_SPARSE[:5], f"SELECT i, {_round('beta')} AS beta, tries::INT AS tries, found FROM search_last"),
+        "row_entropy": _sql(_SPARSE[:5], f"SELECT i, {_round('h')} AS entropy FROM search_last"),
+        "p_conditional": _sql(_SPARSE[:6], f"SELECT i, j, {_round('p')} AS p FROM cond"),
+        "p_symmetric": _sql(_SPARSE, f"SELECT i, j, {_round('p')} AS p FROM psym"),
+        "p_degree": _sql(_SPARSE, "SELECT i, count(*) AS degree FROM psym GROUP BY i"),
+        "p_row_offsets": _sql(_SPARSE, "SELECT i, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_offset FROM (SELECT i, count(*) AS n FROM psym GROUP BY i)"),
+        "p_normalized": _sql([*_SPARSE, "pnorm"], f"SELECT i, j, {_round('p * 1e3')} AS p_e3 FROM pnorm"),
+        "p_exact_joint": _sql(_DENSE, f"SELECT i, j, {_round('p')} AS p FROM pex"),
+        "q_exact": _sql(["v", "y", "qq"], f"SELECT {_round('sum(q)', 3)} AS q_total FROM qq"),
+        "exact_gradient": _sql([*_DENSE, "pexn", "y", "qq", "gex"], f"SELECT id, {_round('g0 * 1e8', 4)} AS g0_e8, {_round('g1 * 1e8', 4)} AS g1_e8 FROM gex"),
+        "attractive_forces": _sql([*_SPARSE, "pnorm", "y", "qq", "att"], f"SELECT id, {_round('f0 * 1e8', 4)} AS f0_e8, {_round('f1 * 1e8', 4)} AS f1_e8 FROM att"),
+        "bh_root_cell": _sql(["v", "y", "root"], "SELECT " + ", ".join(f"{_round(f'{c} * 1e6')} AS {c}_e6" for c in ("c0", "w0", "c1", "w1")) + " FROM root"),
+        "bh_cells": _sql(["v", "y", *_TREE[:3]], "SELECT level, k0, k1, n, " + ", ".join(f"{_round(f'{c} * 1e6')} AS {c}_e6" for c in ("m0", "m1", "w")) + ", leaf FROM cells"),
+        "bh_repulsion": _sql(["v", "y", *_TREE], f"SELECT id, {_round('r0 * 1e4', 4)} AS r0_e4, {_round('r1 * 1e4', 4)} AS r1_e4, {_round('q', 4)} AS q FROM rep"),
+        "bh_gradient": _sql([*_SPARSE, "pnorm", "y", "qq", "att", *_TREE, "gbh"], f"SELECT id, {_round('g0 * 1e8', 4)} AS g0_e8, {_round('g1 * 1e8', 4)} AS g1_e8 FROM gbh"),
+        "update_step": _sql(["v"], f"SELECT id, {_round(f'e[1] + {u0}')} AS y0, {_round(f'e[2] + {u1}')} AS y1, {_round(u0)} AS u0, {_round(u1)} AS u1, {_round(g0)} AS gain0, {_round(g1)} AS gain1 FROM v"),
+        "zero_mean": _sql(["v", "y"], f"SELECT id, {_round('(y0 - avg(y0) OVER ()) * 1e4')} AS y0_e4, {_round('(y1 - avg(y1) OVER ()) * 1e4')} AS y1_e4 FROM y"),
+        "exaggeration_schedule": "SELECT e::INT AS epoch, CASE WHEN e <= 250 THEN 12.0 ELSE 1.0 END::DOUBLE AS exaggeration, CASE WHEN e <= 250 THEN 0.5 ELSE 0.8 END::DOUBLE AS momentum FROM range(0, 300) t(e)",
+        "exact_step": _sql([*_DENSE, "pexn", "y", "qq", "gex"], _one_step("gex")),
+        "bh_step": _sql([*_SPARSE, "pnorm", "y", "qq", "att", *_TREE, "gbh"], _one_step("gbh")),
+        "kl_exact": _sql([*_DENSE, "y", "qq"], kl.format(m=_MIN, p="pex", total="(SELECT sum(q) FROM qq)")),
+        "kl_sparse": _sql([*_SPARSE, "y", "qq"], kl.format(m=_MIN, p="psym", total="(SELECT sum(q) FROM qq WHERE i <> j)")),
+        "csv_roundtrip": _sql(["v"], "SELECT id, " + ", ".join(f"{_round(f'e[{k + 1}]')} AS c{k}" for k in range(8)) + " FROM v"),
+    }
