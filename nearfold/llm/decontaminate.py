@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from nearfold.llm.texts import IntTable, sha, slices
+from nearfold.llm.texts import IntTable, give_back, sha, slices, small_batches
 from nearfold.llm.wordarrays import ALNUM, Hasher, Words, joined, words_of
 
 WINDOW = 13
@@ -111,7 +111,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: st
     spark = docs.sparkSession
     own = {f.name: f for f in docs.schema.fields}
     names = list(dict.fromkeys([*keep, text_col]))
-    df = docs.select(*names)
+    df = small_batches(docs).select(*names)
     first = True
     for block in pattern_blocks(benchmark, item_col, item_text):
         held = spark.sparkContext.broadcast(block)
@@ -132,6 +132,7 @@ def _passes(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: st
                             items[k].update(ids)
                     made = [pa.array(np.diff(words.first), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=out.names)
+            give_back()
 
         df = df.mapInArrow(run, out)
         first = False

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from nearfold.llm.blocks import dealt, forest, meet, runs
 from nearfold.llm.components import components
-from nearfold.llm.texts import checkpoint, map_texts
+from nearfold.llm.texts import SLICE_BYTES, checkpoint, give_back, map_texts
 from nearfold.llm.wordarrays import BLANK, Hasher, joined, mix, words_of
 
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 80, 100
@@ -127,6 +127,7 @@ def _alike(batches):
             a.append(ids[at + edges[:, 0]])
             b.append(ids[at + edges[:, 1]])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    give_back()
 
 
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -161,7 +162,7 @@ def _verified(batches):
         sets: list[np.ndarray] = []
         at = 0
         while at < len(length):
-            to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + 2_000_000, side="right")))
+            to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + SLICE_BYTES, side="right")))
             sets += shingle_sets(texts.slice(at, to - at).to_pylist(), hasher)
             at = to
         ids, keys = table.column("id").to_pylist(), table.column("key").to_pylist()
@@ -175,6 +176,7 @@ def _verified(batches):
                     a.append(names[i])
                     b.append(names[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    give_back()
 
 
 def _bounded(df: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def encode_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         def work(texts: list[str]) -> tuple[list, ...]:
             n, ids, back = codec.digest(texts)
-            flat = np.array(",".join(x for x in ids if x).split(","), dtype=np.int32) if any(n) else np.zeros(0, np.int32)
+            flat = np.fromstring(",".join(x for x in ids if x), dtype=np.int32, sep=",")
             return n, np.split(flat, np.cumsum(n)[:-1]), [sha(x) for x in back]
 
         return work

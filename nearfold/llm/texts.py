@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -15,7 +18,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows, and bytes of text unless one text alone has more, that are worked on at once in a Python worker.  They bound
 #: the worker's memory, not the result.
-SLICE_ROWS, SLICE_BYTES = 512, 2_000_000
+SLICE_ROWS, SLICE_BYTES = 512, 750_000
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 8 << 20
 
 #: The folding used by every operator that compares words: ASCII capitals only.
 LOWER_AZ = {c: c + 32 for c in range(65, 91)}
@@ -26,6 +31,22 @@ def lower_az(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(LOWER_AZ)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`; its session then hands texts to Python in batches of BATCH_BYTES, unless it has a setting of its own."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "67108864b") in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def give_back() -> None:
+    """Return what a finished task has freed to the system; an idle worker holds nothing for the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -59,8 +80,10 @@ def map_texts(
                 else:
                     made = [pa.array(v, type=k) for v, k in zip(got, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*left, *made], names=names)
+        del work
+        give_back()
 
-    return df.select(*cols).mapInArrow(run, out)
+    return small_batches(df).select(*cols).mapInArrow(run, out)
 
 
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:

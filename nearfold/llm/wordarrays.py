@@ -49,7 +49,7 @@ class Hasher:
     def __call__(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(data)
         if n + 1 > len(self.powers):
-            size = max(n + 1, 1 << 21)
+            size = max(n + 1, 1 << 20)
             self.powers = np.full(size, _MULTIPLIER, dtype=np.uint64)
             self.inverse = np.full(size, _INVERSE, dtype=np.uint64)
             self.powers[0] = self.inverse[0] = 1
