@@ -22,13 +22,13 @@ SLICE_ROWS, SLICE_BYTES = 512, 750_000
 #: Bytes of an Arrow batch between the JVM and Python.
 BATCH_BYTES = 8 << 20
 
-#: The folding used by every operator that compares words: ASCII capitals only.
-LOWER_AZ = {c: c + 32 for c in range(65, 91)}
+#: The folding used by every operator that compares words: ASCII capitals only.  In UTF-8 no other character has them.
+LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def lower_az(text: str) -> str:
     """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(LOWER_AZ)
+    return text.encode("utf-8", "surrogatepass").translate(LOWER_AZ).decode("utf-8", "surrogatepass")
 
 
 def small_batches(df: DataFrame) -> DataFrame:
