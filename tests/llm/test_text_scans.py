@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from nearfold.llm import attention, htmlpages, licenses, lm_score
 
@@ -133,3 +134,11 @@ def test_scores(odd, none, spark):
     assert sorted((r.doc_id or -1, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm_score.score_documents(none, path, steps=5).count() == 0
+
+
+def test_all_ids_are_learned_from(spark):
+    """What stands only behind the first 20,000 ids of a document, or in one document of many, is learned."""
+    rows = [(0, "alpha " * 21_000 + "zebra " * 9_000, True)] + [(k, "river " * 3, True) for k in range(1, 6_000)] + [(6_000, "zebra " * 40, False), (6_001, "giraffe " * 40, False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learned boolean").repartition(4)
+    got = {r.doc_id: r.score for r in lm_score.score_documents(df, P.path("piece_bpe_32k.model"), F.col("learned"), steps=20).where("doc_id >= 6000").collect()}
+    assert got[6_000] > -60 and got[6_001] < 3 * got[6_000]
