@@ -1,12 +1,11 @@
 """License scans by a positional rare-token index, in SQL functions only; no shuffle but that of the word counts.
 
 Templates are short texts that go with a licence.  Their words and places are an index: for each template, postings
-(word, place, idf), where idf = ln((files + 1) / (files with the word + 1)) over all files.  From each file the RARE
-rarest of its words that occur in any template are looked up (highest idf, ties by the word).  A template whose postings
-of looked-up words carry AGREE of its idf is intersected by relative position: the places of its ANCHORS rarest such
-words give alignments (place in the file less place in the template), and an alignment's share is the idf of all
-postings that stand at their place in it, over the template's.  A template with a share of AGREE or more counts once its
-key phrase stands in the file, word by word.
+(word, place, idf), where idf = ln((files + 1) / (files with the word + 1)) over all files.  An alignment is a place in
+the file less a place in the template, and its share is the idf of all the template's postings that stand at their place
+in it, over the template's whole idf.  A template whose best share is AGREE or more counts if its key phrase stands in
+the file, word by word.  A template's anchors are its rarest postings, as many as carry more than 1 - AGREE of its idf:
+an alignment without any of them cannot reach AGREE, so the places of the anchors give all the alignments that can.
 
 Beside that the base phrases are counted everywhere: places where their words stand consecutively.
 
@@ -47,8 +46,8 @@ TEMPLATES = [
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
 ]
-#: Words looked up in each file; the share of a template's idf that must agree; words that give alignments.
-RARE, AGREE, ANCHORS = 12, 0.6, 3
+#: The share of a template's idf that must agree.
+AGREE = 0.6
 
 VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
@@ -65,10 +64,6 @@ def idf_of(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {w: math.log((have.get("", 0) + 1) / (have.get(w, 0) + 1)) for w in VOCABULARY}
 
 
-def _quoted(items: list[str]) -> str:
-    return "array(" + ", ".join(f"'{x}'" for x in items) + ")"
-
-
 def _places(phrase: str) -> str:
     """SQL: the places of the word array w where the phrase starts."""
     parts = phrase.split()
@@ -77,36 +72,43 @@ def _places(phrase: str) -> str:
     return f"CASE WHEN array_contains(w, '{parts[-1]}') AND array_contains(w, '{parts[0]}') THEN {found} ELSE cast(array() AS array<int>) END"
 
 
+def anchors(text: str, idf: dict[str, float]) -> list[tuple[str, int]]:
+    """The rarest words of the template and their places; any alignment with a share of AGREE has one of them."""
+    postings = sorted(((w, k) for k, w in enumerate(text.split())), key=lambda x: (-idf[x[0]], x[1]))
+    total, mass, out = sum(idf[w] for w, _ in postings), 0.0, []
+    for w, k in postings:
+        out.append((w, k))
+        mass += idf[w]
+        if mass > (1 - AGREE + 1e-5) * total:  # more than the rounding of shares
+            break
+    return out
+
+
 def _share(text: str, idf: dict[str, float]) -> str:
-    """SQL: the largest share of the template's idf that agrees on one alignment, 0 if it is not worth aligning."""
+    """SQL: the largest share of the template's idf that agrees on one alignment, of those that can reach AGREE."""
     postings = [(w, k, idf[w]) for k, w in enumerate(text.split())]
     total = sum(v for _, _, v in postings)
     if total <= 0:
         return "0D"
     whole = "array(" + ", ".join(f"named_struct('w', '{w}', 'p', {k}, 'v', {v!r}D)" for w, k, v in postings) + ")"
-    looked = f"filter({whole}, x -> array_contains(looked_up, x.w))"
-    mass = " + ".join(f"CASE WHEN array_contains(looked_up, '{w}') THEN {v!r}D ELSE 0D END" for w, _, v in postings)
-    rarest = f"slice(array_sort({looked}, (a, b) -> CASE WHEN a.v > b.v THEN -1 WHEN a.v < b.v THEN 1 WHEN a.p < b.p THEN -1 WHEN a.p > b.p THEN 1 ELSE 0 END), 1, {ANCHORS})"
-    starts = f"array_distinct(flatten(transform({rarest}, x -> transform(filter(sequence(0, size(w) - 1), q -> get(w, q) = x.w), q -> q - x.p))))"
-    agree = f"aggregate({looked}, 0D, (s, x) -> s + CASE WHEN get(w, a + x.p) = x.w THEN x.v ELSE 0D END)"
-    best = f"coalesce(array_max(transform({starts}, a -> {agree})), 0D)"
-    return f"CASE WHEN {mass} >= {AGREE * total!r}D THEN round({best} / {total!r}D, 6) ELSE 0D END"
+    starts = "array_distinct(concat(" + ", ".join(f"transform(filter(sequence(0, size(w) - 1), q -> get(w, q) = '{x}'), q -> q - {k})" for x, k in anchors(text, idf)) + "))"
+    agree = f"aggregate({whole}, 0D, (s, x) -> s + CASE WHEN get(w, a + x.p) = x.w THEN x.v ELSE 0D END)"
+    return f"round(coalesce(array_max(transform({starts}, a -> {agree})), 0D) / {total!r}D, 6)"
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id_col`, n_words, n_base, first_word, last_word, base_labels, labels and score for every row."""
     idf = idf_of(docs, text_col)
-    rank = sorted(VOCABULARY, key=lambda w: (-idf[w], w))
-    df = docs.select(F.col(id_col), words(F.col(text_col)).alias("w"))
-    # in the order of the first array: rarest first
-    df = df.withColumn("looked_up", F.expr(f"slice(array_intersect({_quoted(rank)}, w), 1, {RARE})"))
+    df = docs.select(F.col(id_col), words(F.col(text_col)).alias("w")).withColumn("line", F.expr("concat(' ', array_join(w, ' '), ' ')"))
     base = [f"{_places(p)} AS b{k}" for k, p in enumerate(BASE)]
-    shares = [f"{_share(text, idf)} AS s{k}" for k, (_, text, _) in enumerate(TEMPLATES)]
-    df = df.selectExpr(id_col, "w", *base, *shares)
+    keys = [f"line LIKE '% {key} %' AS k{k}" for k, (_, _, key) in enumerate(TEMPLATES)]
+    df = df.selectExpr(id_col, "w", *base, *keys)
+    # without the key phrase a template does not count, whatever its share
+    shares = [f"CASE WHEN k{k} THEN {_share(text, idf)} ELSE 0D END AS s{k}" for k, (_, text, _) in enumerate(TEMPLATES)]
+    df = df.selectExpr("*", *shares)
     places = f"concat({', '.join(f'b{k}' for k in range(len(BASE)))})"
     ours = ", ".join(f"CASE WHEN size(b{k}) > 0 THEN '{label}' END" for k, label in enumerate(BASE.values()))
-    line = "concat(' ', array_join(w, ' '), ' ')"
-    holds = [f"CASE WHEN s{k} >= {AGREE}D THEN {line} LIKE '% {key} %' ELSE false END AS h{k}" for k, (_, _, key) in enumerate(TEMPLATES)]
+    holds = [f"s{k} >= {AGREE}D AS h{k}" for k in range(len(TEMPLATES))]
     df = df.selectExpr("*", *holds)
     theirs = ", ".join(f"CASE WHEN h{k} THEN '{label}' END" for k, (label, _, _) in enumerate(TEMPLATES))
     best = ", ".join(f"CASE WHEN h{k} THEN s{k} ELSE 0D END" for k in range(len(TEMPLATES)))

@@ -52,6 +52,29 @@ def test_licenses(odd, none, spark):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_of_bundles(spark):
+    """Every template of a file counts, whatever else stands there: against all alignments of all templates."""
+    rng = random.Random(5)
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    rows = [(0, " and ".join(texts)), (1, texts[3] + " x " + texts[9]), (2, texts[12] + " x " + texts[13]), (3, texts[9] + " x " + texts[14]), (4, texts[9] + " x " + texts[10])]
+    rows += [(5 + k, " ".join(w for t in rng.sample(texts, 4) for w in t.split() if rng.random() < 0.9)) for k in range(60)]
+    rows += [(100 + k, "plain words of no licence at all and the rest") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = licenses.idf_of(df)
+    got = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    for i, t in rows:
+        w, want, best = W.findall(t.translate(LOW)), set(base(t)[4].split(",")), 0
+        for label, text, key in licenses.TEMPLATES:
+            p = text.split()
+            share = max(sum(idf[x] for k, x in enumerate(p) if 0 <= a + k < len(w) and w[a + k] == x) for a in range(-len(p), len(w))) / sum(idf[x] for x in p)
+            if round(share, 6) >= licenses.AGREE and f" {key} " in f" {' '.join(w)} ":
+                want.add(label)
+                best = max(best, share)
+        assert got[i].labels == ",".join(sorted(want - {""})) and abs(got[i].score - best) < 2e-6
+    assert set(got[0].labels.split(",")) == {label for label, _, _ in licenses.TEMPLATES} | set(licenses.BASE.values())
+    assert [set(got[k].labels.split(",")) for k in (1, 3)] == [{"bsd", "isc"}, {"isc", "unlicense"}]
+
+
 def test_licenses_stay_in_the_jvm(odd):
     plan = licenses.scan_licenses(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
