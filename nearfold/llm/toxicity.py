@@ -3,8 +3,10 @@
 Terms are the distinct words of a document and the first bytes of its longer words, hashed into 2**BITS places.  A
 place has a linear weight and a vector of FACTORS numbers; a document's logit is the bias, the sum of its weights, and
 the sum over all pairs of its terms of the product of their vectors, which learns what a pair says beyond its parts.
-Fitted by AdaGrad on labelled documents.  Places that too few of these have, or that go with neither label beyond
-chance, stay out of the model: a long document has hundreds of those, and their noise would drown one insult.
+Fitted by AdaGrad on labelled documents.  Places that too few of these have stay out of the model, and so do those that
+say nothing of the label beyond chance, neither alone nor in a pair with another place: a long document has hundreds of
+those, and their noise would drown one insult.  A place that says nothing alone counts if the documents that have it
+with some other place have another share of the label than both places by themselves would give.
 
 Cases: a null or empty text has no terms and gets the bias alone; with nothing to learn from every score is 0.5; a null
 id, repeated ids and rows each give their own row; other columns are never read; an empty table gives no rows.
@@ -28,8 +30,10 @@ from nearfold.llm.wordarrays import ALNUM, Hasher, mix, words_of
 TRAIN_PER_CLASS = 2_500
 THRESHOLD = 0.5
 BITS, FACTORS, PREFIX = 28, 4, 5
-#: A place counts if so many training documents have it, and the chi-square of place and label is so high.
+#: A place counts if so many training documents have it, and the chi-square of place and label is so high; or that of a
+#: pair with it, higher by 2 ln(partners it could have), so that no more places than by themselves pass by chance.
 LEAST, CHI_SQUARE = 3, 15.0
+PAIR_BLOCK = 512
 EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.1, 1e-4
 
 
@@ -73,15 +77,58 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
+def _beyond(n: np.ndarray, ones: np.ndarray, logit: np.ndarray) -> np.ndarray:
+    """The likelihood-ratio statistic of `ones` of n documents against the share that `logit` says; 0 under LEAST."""
+    n, ones = n.astype(float), ones.astype(float)
+    says = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        got = [2 * np.where(k > 0, k * np.log(k / (n * q)), 0.0) for k, q in ((ones, says), (n - ones, 1 - says))]
+    return np.where(n >= LEAST, got[0] + got[1], 0.0)
+
+
 def telling(place: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The places that pass LEAST and CHI_SQUARE."""
+    """The places that pass LEAST and CHI_SQUARE, alone or in a pair."""
     known, of = np.unique(place, return_inverse=True)
-    truth = np.repeat(labels, np.diff(first))
+    doc = np.repeat(np.arange(len(labels)), np.diff(first))
     n, ones = len(labels), labels.sum()
-    have, both = np.bincount(of, minlength=len(known)), np.bincount(of, weights=truth, minlength=len(known))
+    have, both = np.bincount(of, minlength=len(known)), np.bincount(of, weights=labels[doc], minlength=len(known))
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = n * (both * n - have * ones) ** 2 / (have * ones * (n - have) * (n - ones))
-    return known[(have >= LEAST) & (np.nan_to_num(chi) >= CHI_SQUARE)]
+    alone = (have >= LEAST) & (np.nan_to_num(chi) >= CHI_SQUARE)
+    enough, passed = have >= LEAST, alone.copy()
+    base = np.log((ones + 0.5) / (n - ones + 0.5))
+    logit = np.log((both + 0.5) / (have - both + 0.5)) - base
+    # with a place that tells something alone
+    by_place, bounds = doc[np.argsort(of, kind="stable")], np.r_[0, np.cumsum(have)]
+    least = CHI_SQUARE + 2 * np.log(max(1, alone.sum()))
+    for i in np.flatnonzero(alone):
+        docs = by_place[bounds[i] : bounds[i + 1]]
+        size = first[docs + 1] - first[docs]
+        others = of[np.repeat(first[docs] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        own, m = np.unique(others, return_counts=True)
+        toxic = np.bincount(np.searchsorted(own, others), weights=np.repeat(labels[docs], size), minlength=len(own))
+        passed[own[(_beyond(m, toxic, base + logit[i] + logit[own]) >= least) & enough[own]]] = True
+    # with any other; where both leave the label at its base rate, fewer documents than this cannot reach `least`
+    least = CHI_SQUARE + 2 * np.log(max(1, enough.sum()))
+    rest = np.flatnonzero(enough & ~alone & (have * 2 * np.log(n / min(ones, n - ones)) >= least))
+    at = np.full(len(known), -1)
+    at[rest] = np.arange(len(rest))
+    here = at[of] >= 0
+    cells = np.zeros((len(rest), n), dtype=np.uint8)
+    cells[at[of[here]], doc[here]] = 1
+    blocks = [slice(k, k + PAIR_BLOCK) for k in range(0, len(rest), PAIR_BLOCK)]
+    truth = labels.astype(np.float32)
+    for k, rows in enumerate(blocks):
+        x = cells[rows].astype(np.float32)
+        marked = x * truth
+        for cols in blocks[k:]:
+            y = cells[cols].astype(np.float32).T
+            m = x @ y
+            hit = _beyond(m, marked @ y, base + logit[rest[rows], None] + logit[rest[cols]]) >= least
+            hit &= rest[rows, None] != rest[cols]
+            passed[rest[rows][hit.any(axis=1)]] = True
+            passed[rest[cols][hit.any(axis=0)]] = True
+    return known[passed]
 
 
 def fit_machine(place: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int = 11) -> FactorMachine:

@@ -84,3 +84,35 @@ def test_pairs_are_learned():
         toxicity.CHI_SQUARE = old
     row = m.rows.get(place)
     assert (((m.logits(row, first)) > 0) == np.array(y)).mean() > 0.95
+
+
+def test_pairs_are_learned_with_production_constants():
+    """No place says anything alone, among forty noise words."""
+
+    def made(n, seed):
+        rng = np.random.default_rng(seed)
+        rows, y = [], []
+        for _ in range(n):
+            a, b = rng.integers(0, 2, 2)
+            y.append(int(a == b))
+            rows.append(np.unique([10] * a + [20] * b + [30] * (1 - a) + [40] * (1 - b) + (100 + 3000 * rng.random(40) ** 3).astype(int).tolist()))
+        return np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])], np.array(y, float)
+
+    m = toxicity.fit_machine(*made(1200, 2))
+    place, first, y = made(600, 3)
+    row = m.rows.get(place)
+    assert ((m.logits(row[row >= 0], np.r_[0, np.cumsum(row >= 0)][first]) > 0) == y).mean() > 0.95
+
+
+def test_a_neutral_mention_is_screened_in():
+    """Insult and mention are toxic together only; the mention's own share of the label is the base rate."""
+    rng = np.random.default_rng(4)
+    rows, y = [], []
+    for k in range(3000):
+        kind = k % 6  # toxic: 0 to 2; the mention, 1, is in two of three of either
+        own = {0: [1, 2], 1: [1, 2], 2: [3], 3: [1], 4: [1, 4], 5: [2, 4]}[kind]
+        rows.append(np.unique([*own, *(100 + 500 * rng.random(10)).astype(int)]))
+        y.append(float(kind < 3))
+    place, first = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
+    got = set(toxicity.telling(place, first, np.array(y)).tolist())
+    assert {1, 2, 3, 4} <= got and len(got) < 12
