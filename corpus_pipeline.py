@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from nearfold.llm import decontaminate, minhash, pieces, quality, toxicity
 from nearfold.llm.texts import shared_folder
 
+#: Words of a shingle of the near-copy stage.
+SHINGLE = 5
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line field finds good."""
@@ -28,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies."""
-    return minhash.drop_near_copies(docs)
+    return minhash.drop_near_copies(docs, width=SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

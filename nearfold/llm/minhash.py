@@ -1,6 +1,6 @@
 """Near-duplicate documents by min-max hashing.
 
-A document's set holds its distinct shingles of 4 words.  Each of PERMUTATIONS hash functions gives two signature values,
+A document's set holds its distinct shingles of `width` words.  Each of PERMUTATIONS hash functions gives two signature values,
 the smallest and the largest hash of the set: both agree between two sets with probability equal to their similarity,
 so half the hash evaluations give as long a signature, of lower variance.  Documents with the same set form a class,
 and one row stands for it.  ROWS values make a band; classes that agree in a band share a bucket.
@@ -14,7 +14,7 @@ A pair at exactly the threshold misses every bucket with probability (1 - 0.8**5
 with some 2e-5.  Shingles are compared as 63-bit fingerprints.
 
 Cases: null or empty texts, or texts without words, have an empty set and link with nothing, as do rows with a null id
-(component null, kept); with fewer than 4 words the whole sequence is the one shingle; repeated rows and ids give a row
+(component null, kept); with fewer than `width` words the whole sequence is the one shingle; repeated rows and ids give a row
 each, by their own text; other columns are ignored; an empty table gives no rows.
 """
 
@@ -33,6 +33,7 @@ from nearfold.llm.components import components
 from nearfold.llm.texts import SLICE_BYTES, checkpoint, give_back, map_texts
 from nearfold.llm.wordarrays import BLANK, Hasher, joined, mix, words_of
 
+#: Words of a shingle in the query; the pipeline has its own.
 SHINGLE, NUMERATOR, DENOMINATOR = 4, 80, 100
 PERMUTATIONS, ROWS = 60, 5
 VALUES = 2 * PERMUTATIONS
@@ -85,14 +86,14 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sign(docs: DataFrame, id_col: str, text_col: str, width: int = SHINGLE) -> DataFrame:
     """id, n_shingles, and of non-empty sets the key, one byte of each signature value, and the band keys."""
 
     def make():
         hasher = Hasher()
 
         def work(texts: list[str]):
-            sets = shingle_sets(texts, hasher)
+            sets = shingle_sets(texts, hasher, width)
             full = [i for i, s in enumerate(sets) if len(s)]
             keys, bytes_, bands = [None] * len(sets), [None] * len(sets), [None] * len(sets)
             if full:
@@ -153,7 +154,7 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return forest(len(sets), near)
 
 
-def _verified(batches):
+def _verified(batches, width: int):
     """A spanning forest, in every block of a cluster, of the members whose full sets are similar enough."""
     hasher = Hasher()
     for table, cut in runs(batches, ["cluster", "lo", "hi"]):
@@ -163,7 +164,7 @@ def _verified(batches):
         at = 0
         while at < len(length):
             to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + SLICE_BYTES, side="right")))
-            sets += shingle_sets(texts.slice(at, to - at).to_pylist(), hasher)
+            sets += shingle_sets(texts.slice(at, to - at).to_pylist(), hasher, width)
             at = to
         ids, keys = table.column("id").to_pylist(), table.column("key").to_pylist()
         a, b = [], []
@@ -184,10 +185,10 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """`id_col`, n_shingles, component_id (smallest id reachable by links), kept, for every row; ids are integers."""
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    signed = checkpoint(sign(docs, id_col, text_col))
+    signed = checkpoint(sign(docs, id_col, text_col, width))
     has_set = signed.where("n_shingles > 0 AND id IS NOT NULL")
     classes = checkpoint(has_set.groupBy("key").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
     places = classes.select("id", F.explode("bands").alias("bucket"))
@@ -201,7 +202,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = checkpoint(whole.join(counts, "cluster").join(classes.select("id", "key"), "id"))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_bounded(members), "id")
     tasks = dealt(meet(rows, "cluster", "size", "id").select("cluster", "lo", "hi", "id", "key", "text"), "cluster")
-    found = components(tasks.mapInArrow(_verified, "a long, b long"))
+    found = components(tasks.mapInArrow(lambda batches: _verified(batches, width), "a long, b long"))
     root = classes.select("key", F.col("id").alias("first")).join(found.withColumnRenamed("node", "first"), "first", "left")
     root = root.select("key", F.coalesce("component", "first").alias("root"))
     out = signed.select("id", "n_shingles", "key").join(root, "key", "left")
@@ -210,10 +211,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
     """One document of each group of near copies, with all its columns: the one with the smallest id.  Rows with a null
     id stay; of rows that share an id, one stays."""
-    groups = checkpoint(near_groups(docs, id_col, text_col))
+    groups = checkpoint(near_groups(docs, id_col, text_col, width))
     kept = docs.join(_bounded(groups.where("NOT kept").select(id_col)), id_col, "left_anti")
     if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
         return kept

@@ -120,3 +120,17 @@ def test_pivots_against_brute_force(spark, monkeypatch):
     assert got[None].component_id is None and got[None].kept
     assert got[9008].n_links == got[9009].n_links == 1 and got[9009].component_id == 9008
     assert pivots.near_vectors(df.limit(0)).count() == 0
+
+
+def test_the_pipeline_takes_shingles_of_five_words(spark):
+    """Two texts that are near copies by four words, 72 of 88 shared, and not by five, 69 of 89."""
+    import corpus_pipeline
+
+    one = [f"w{k}" for k in range(83)]
+    other = [f"x{k}" if k in (25, 55) else w for k, w in enumerate(one)]
+    near = [f"x{k}" if k == 40 else w for k, w in enumerate(one)]
+    df = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other))], "doc_id long, text string")
+    assert [r.doc_id for r in minhash.near_groups(df).where("kept").collect()] == [1]
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 2]
+    df = df.where("doc_id = 1").union(spark.createDataFrame([(3, " ".join(near))], df.schema))
+    assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()] == [1]
