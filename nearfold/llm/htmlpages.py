@@ -16,7 +16,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,23 +50,37 @@ _HINT_OF = {w: kind for kind, words in _HINTS.items() for w in words.split()}
 
 
 @dataclass
-class Block:
-    text: str
-    tags: tuple[str, ...]  # of the ancestors, outermost first
-    hints: frozenset[str]
-    linked: float  # share of the text inside links
+class Inside:
+    """What the features need of a block's ancestors.  Each open tag carries that of its own path, made from the one
+    above it in constant space: no block holds as many entries as it is deep."""
+
+    tags: frozenset[str] = frozenset()  # of those in _TAGS
+    hints: frozenset[str] = frozenset()
+    boxed: frozenset[str] = frozenset()  # tags from the first article on
+    articles: int = 0
+    parent: str = ""  # the innermost block-level tag
+
+    def within(self, tag: str, hints: set[str]) -> Inside:
+        known = {tag} & _KNOWN
+        boxed = self.boxed | known if self.articles or tag == "article" else self.boxed
+        return Inside(self.tags | known, self.hints | hints, boxed, self.articles + (tag == "article"), tag if tag in _BLOCK else self.parent)
+
+
+_KNOWN = frozenset(_TAGS)
 
 
 @dataclass
-class _Open:
-    tag: str
-    hints: frozenset[str] = field(default_factory=frozenset)
+class Block:
+    text: str
+    inside: Inside
+    linked: float  # share of the text inside links
 
 
 def parse(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     blocks: list[Block] = []
-    stack: list[_Open] = []
+    stack: list[tuple[str, Inside]] = []
+    open_: Counter[str] = Counter()  # tags on the stack: what is not there is not looked for
     held: list[str] = []
     chars = linked = links = 0
 
@@ -74,7 +89,7 @@ def parse(page: str) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                blocks.append(Block(text, tuple(x.tag for x in stack), frozenset().union(*(x.hints for x in stack)), linked / max(1, chars)))
+                blocks.append(Block(text, stack[-1][1] if stack else Inside(), linked / max(1, chars)))
             held.clear()
         chars = linked = 0
 
@@ -87,7 +102,9 @@ def parse(page: str) -> list[Block]:
 
     def pop(to: int) -> None:
         nonlocal links
-        links -= sum(x.tag == "a" for x in stack[to:])
+        for tag, _ in stack[to:]:
+            open_[tag] -= 1
+            links -= tag == "a"
         del stack[to:]
 
     at, size = 0, len(page)
@@ -109,11 +126,11 @@ def parse(page: str) -> list[Block]:
         if m[1]:
             if tag in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
+            for k in range(len(stack) - 1, -1, -1) if open_[tag] else ():
+                if stack[k][0] == tag:
                     pop(k)
                     break
-                if tag not in _BLOCK and stack[k].tag in _BLOCK:
+                if tag not in _BLOCK and stack[k][0] in _BLOCK:
                     break
             continue
         if tag in _RAW:
@@ -125,18 +142,18 @@ def parse(page: str) -> list[Block]:
             continue
         if tag in _BLOCK:
             flush()
-            for k in range(len(stack) - 1, -1, -1):  # a paragraph ends where a block begins
-                if stack[k].tag == "p":
+            for k in range(len(stack) - 1, -1, -1) if open_["p"] else ():  # a paragraph ends where a block begins
+                if stack[k][0] == "p":
                     pop(k)
                     break
-                if stack[k].tag in _BLOCK:
+                if stack[k][0] in _BLOCK:
                     break
             if tag in _CLOSES:
                 ends, border = _CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag in border:
+                for k in range(len(stack) - 1, -1, -1) if any(open_[t] for t in ends) else ():
+                    if stack[k][0] in border:
                         break
-                    if stack[k].tag in ends:
+                    if stack[k][0] in ends:
                         pop(k)
                         break
         if tag in _VOID or m[3].endswith("/"):
@@ -147,7 +164,8 @@ def parse(page: str) -> list[Block]:
                 for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()):
                     if w in _HINT_OF:
                         hints.add(_HINT_OF[w])
-        stack.append(_Open(tag, frozenset(hints)))
+        stack.append((tag, (stack[-1][1] if stack else Inside()).within(tag, hints)))
+        open_[tag] += 1
         links += tag == "a"
     flush()
     return blocks
@@ -164,34 +182,34 @@ def features(blocks: list[Block]) -> np.ndarray:
     """Feature numbers of each block, padded."""
     out = np.full((len(blocks), _WIDTH), len(_KINDS), dtype=np.int64)
     n = len(blocks)
-    articles, mains = any("article" in b.tags for b in blocks), any("main" in b.tags for b in blocks)
-    named_main = any("main" in b.hints for b in blocks)
-    for k, b in enumerate(blocks):
-        boxed = b.tags[b.tags.index("article") :] if "article" in b.tags else b.tags
+    articles, mains = any(b.inside.articles for b in blocks), any("main" in b.inside.tags for b in blocks)
+    named_main = any("main" in b.inside.hints for b in blocks)
+    for k, block in enumerate(blocks):
+        b, text = block.inside, block.text
+        boxed = b.boxed if b.articles else b.tags
         apart = bool(b.hints - {"main"}) or any(t in ("nav", "aside", "footer", "form", "button", "label") for t in boxed)
-        if "article" in b.tags:
-            named = {"apart in article" if apart or boxed.count("article") > 1 else "clean article"}
+        if b.articles:
+            named = {"apart in article" if apart or b.articles > 1 else "clean article"}
         elif "main" in b.tags or "main" in b.hints:
             named = {"apart in main" if apart else "clean main"}
         else:
             named = {"apart"} if apart else set() if articles or mains or named_main else {"clean, no main"}
         own = named | {"bias", *(f"in {t}" for t in b.tags), *(f"hint {h}" for h in b.hints)}
-        inner = [t for t in b.tags if t in _BLOCK]
-        own.add(f"parent {inner[-1]}" if inner else "bare body")
+        own.add(f"parent {b.parent}" if b.parent else "bare body")
         if "main" in b.hints:
             own |= {f"main hint over {h}" for h in b.hints}
-        words = b.text.count(" ") + 1
+        words = text.count(" ") + 1
         own.add(f"words {min(7, words.bit_length() - 1)}")
-        own.add(f"linked {min(3, int(b.linked * 4))}")
+        own.add(f"linked {min(3, int(block.linked * 4))}")
         own.add(f"place {min(4, k * 5 // n)}")
         own.add(f"from end {min(4, n - 1 - k)}")
         if n == 1:
             own.add("alone")
         if words == 1:
             own.add("one word")
-        if "©" in b.text or "copyright" in b.text.lower():
+        if "©" in text or "copyright" in text.lower():
             own.add("copyright")
-        if b.text[-1] in ".!?:;\"”" and words > 3:
+        if text[-1] in ".!?:;\"”" and words > 3:
             own.add("sentence")
         if articles:
             own.add("article page" if "article" in b.tags else "article page, outside")
