@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import hashlib
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -102,10 +103,13 @@ def sha(data: str | bytes) -> str:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the session's spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """Make checkpoint() usable: the session's spark.checkpoint.dir, or, in local mode only, a folder of our own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -116,11 +120,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
 class IntTable:
     """Open-addressing hash table from non-negative 64-bit keys to int32, looked up for whole arrays at once."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(max(1, len(keys)) * 4))))
+    def __init__(self, keys: np.ndarray, values: np.ndarray, room: int = 0):
+        """room: keys that there will be at most; more slow the table down."""
+        self.bits = max(8, int(np.ceil(np.log2(max(1, len(keys) * 4, room * 2)))))
         self.mask = (1 << self.bits) - 1
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.values = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.insert(keys, values)
+
+    def insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct keys that the table does not have."""
         keys, values = np.asarray(keys, dtype=np.int64), np.asarray(values, dtype=np.int32)
         slot = self._slot(keys)
         while len(keys):

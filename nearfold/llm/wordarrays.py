@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 
 SPACE = 32
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
 
 def byte_table(is_word) -> bytes:
@@ -40,41 +40,53 @@ class Words:
 
 
 class Hasher:
-    """Fingerprints of slices of a byte array: a polynomial modulo 2**64 over random values of the bytes, then mixed."""
+    """Fingerprints of slices of a byte array: eight bytes at a time are mixed in, so that no sum of bytes, however the
+    slices repeat themselves, cancels out; slices of more than LONG bytes by a cryptographic digest."""
+
+    LONG = 512
+    _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 
     def __init__(self, seed: int = 7):
-        self.values = np.random.default_rng(seed).integers(1, 2**63, 256, dtype=np.uint64)
-        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
+        self.seed = np.uint64(seed)
 
     def __call__(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        n = len(data)
-        if n + 1 > len(self.powers):
-            size = max(n + 1, 1 << 20)
-            self.powers = np.full(size, _MULTIPLIER, dtype=np.uint64)
-            self.inverse = np.full(size, _INVERSE, dtype=np.uint64)
-            self.powers[0] = self.inverse[0] = 1
-            np.cumprod(self.powers, out=self.powers)
-            np.cumprod(self.inverse, out=self.inverse)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self.values[np.frombuffer(data, dtype=np.uint8)] * self.powers[:n], out=total[1:])
-        return mix((total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=data + bytes(8), strides=(1,))
+        left = ends - starts
+        h = mixed((left.astype(np.uint64) << np.uint64(8)) + self.seed)
+        long_ = np.flatnonzero(left > self.LONG)
+        at, on = starts, None  # on: the slices that have bytes left; None: all
+        while len(at):
+            h_on = mixed((h if on is None else h[on]) ^ (eight[at] & self._KEEP[np.minimum(left, 8)]))
+            if on is None:
+                h = h_on
+            else:
+                h[on] = h_on
+            more = np.flatnonzero((left > 8) & (left <= self.LONG))
+            at, left, on = at[more] + 8, left[more] - 8, more if on is None else on[more]
+        for k in long_.tolist():
+            digest = hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, salt=int(self.seed).to_bytes(8)).digest()
+            h[k] = np.uint64(int.from_bytes(digest))
+        return (h >> np.uint64(1)).astype(np.int64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values over all bits; int64, not negative."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return ((h ^ (h >> np.uint64(33))) >> np.uint64(1)).astype(np.int64)
+    return (mixed(h) >> np.uint64(1)).astype(np.int64)
 
 
 def joined(hashes: np.ndarray, n: int) -> np.ndarray:
     """Fingerprints of every run of n neighbouring words: entry i is of words i to i + n - 1."""
     size = max(0, len(hashes) - n + 1)
-    h = np.zeros(size, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = h * np.uint64(_MULTIPLIER) + hashes[k : k + size].astype(np.uint64)
-    return mix(h)
+    h = np.full(size, n, dtype=np.uint64)
+    for k in range(n):
+        h = mixed(h * np.uint64(_MULTIPLIER) + hashes[k : k + size].astype(np.uint64))
+    return (h >> np.uint64(1)).astype(np.int64)
 
 
 def words_of(texts: list[str], table: bytes, hasher: Hasher | None = None) -> Words:
