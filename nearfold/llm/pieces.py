@@ -81,16 +81,12 @@ class PieceCodec:
     def merge(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all the (non-empty) segments, and where each segment ends; size + c: a character c to be spelled in bytes."""
         sym = self.chars[np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        word = np.repeat(np.arange(len(segments), dtype=np.int64), [len(s) for s in segments])
+        word = np.repeat(np.arange(len(segments), dtype=np.int32), [len(s) for s in segments])
         done_sym, done_word = [], []
         gap = 2 * self.longest
+        r = np.full(len(sym), _NONE, dtype=np.int32)  # rank of what each symbol and the next one make
+        self._look(sym, word, r, np.arange(len(sym) - 1))
         while len(sym):
-            both = (word[1:] == word[:-1]) & (sym[1:] < self.size) & (sym[:-1] < self.size)
-            r = np.full(len(sym), _NONE, dtype=np.int32)
-            at = np.flatnonzero(both)
-            made = self.pairs.get(sym[at].astype(np.int64) * self.size + sym[at + 1])
-            at, made = at[made >= 0], made[made >= 0]
-            r[at] = self.rank[made]
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(r, starts)
             spread = np.repeat(best, np.diff(np.r_[starts, len(sym)]))
@@ -114,13 +110,25 @@ class PieceCodec:
             sym[place] = piece
             stay = np.ones(len(sym), dtype=bool)
             stay[place + 1] = False
-            sym, word = sym[stay], word[stay]
+            sym, word, r = sym[stay], word[stay], r[stay]
+            place -= np.arange(len(place))  # so many symbols before each have gone
+            self._look(sym, word, r, np.concatenate([place, place[place > 0] - 1]))
         out_word = np.concatenate(done_word) if done_word else np.zeros(0, dtype=np.int64)
         out_sym = np.concatenate(done_sym) if done_sym else np.zeros(0, dtype=np.int32)
         by = np.argsort(out_word, kind="stable")
         ends = np.cumsum(np.bincount(out_word, minlength=len(segments)))
         return out_sym[by], ends
 
+    def _look(self, sym: np.ndarray, word: np.ndarray, r: np.ndarray, at: np.ndarray) -> None:
+        """Set r[at]."""
+        r[at] = _NONE
+        at = at[at + 1 < len(sym)]
+        both = (word[at + 1] == word[at]) & (sym[at] < self.size) & (sym[at + 1] < self.size)
+        at = at[both]
+        made = self.pairs.get(sym[at].astype(np.int64) * self.size + sym[at + 1])
+        found = made >= 0
+        r[at[found]] = self.rank[made[found]]
+
     def _fallback(self, code: int) -> list[int]:
         if not self.byte_id:
             return [self.unknown]
