@@ -5,12 +5,17 @@ share a shift table over blocks of two words: how far the search may jump when t
 window.  Cursors walk all texts of a slice in step; where the shift is zero, the block selects a bucket of patterns, and
 the words themselves are compared.
 
-The benchmark may be of any size: its patterns are dealt into blocks of PATTERN_BLOCK, each broadcast on its own and
-matched in a pass of its own over the documents, which carries the hits found so far along.
+The benchmark may be of any size: Spark cuts its windows and gathers the items of each, and they come in blocks of
+PATTERN_BLOCK, each broadcast on its own and matched in a pass of its own over the documents.  Between passes, of which
+there is one up to PATTERN_BLOCK windows, documents and hits are checkpointed: a worker holds one block's tables.
+
+Two rules say what goes.  `contaminated` is a share: a twentieth of the document's words is hit.  drop_contaminated(), the
+filter, also takes documents in which any whole window of WINDOW words occurs, however long they are: one leaked passage
+is a leak.  A shorter item, which may well be a common phrase, counts by its share alone.
 
 Cases: a null or empty text has no words; items without words or without id match nothing; repeated items, and items
-that share windows, each count; a null doc_id and repeated rows give their own rows; other columns are ignored; an empty
-benchmark leaves every document clean.
+that share windows, each count; a null doc_id and repeated rows give their own rows; other columns, whatever their names,
+are ignored (the filter keeps them); an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -21,9 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.llm.texts import IntTable, give_back, sha, slices, small_batches
+from nearfold.llm.texts import IntTable, checkpoint, give_back, sha, slices, small_batches
 from nearfold.llm.wordarrays import ALNUM, Hasher, Words, joined, words_of
 
 WINDOW = 13
@@ -92,50 +98,57 @@ def windows_of(text: str) -> list[bytes]:
 
 def pattern_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[dict[bytes, list[str]]]:
     """The benchmark's windows with their items, in blocks of bounded size."""
+
+    def cut(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for item, text in zip(part.column("item").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    own = list(dict.fromkeys(windows_of(text)))
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([item] * len(own), pa.string())], names=["pattern", "item"])
+
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text <> ''")
+    patterns = small_batches(items).mapInArrow(cut, "pattern binary, item string").groupBy("pattern").agg(F.collect_set("item").alias("items"))
     block: dict[bytes, list[str]] = {}
-    for r in benchmark.select(id_col, text_col).toLocalIterator():
-        if r[0] is None or not r[1]:
-            continue
-        for p in windows_of(r[1]):
-            items = block.setdefault(p, [])
-            if str(r[0]) not in items:
-                items.append(str(r[0]))
+    for r in patterns.toLocalIterator():
+        block[bytes(r.pattern)] = list(r["items"])
         if len(block) >= PATTERN_BLOCK:
             yield block
             block = {}
     yield block
 
 
+_FOUND = "struct<n:bigint,hits:array<int>,items:array<string>>"
+
+
 def _passes(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str, item_col: str, item_text: str) -> DataFrame:
-    """`keep`, the text, n_words, hits (first word and length of each occurrence, flat) and items."""
+    """row (`keep` as a struct), text, found: number of words, hits (first word and length of each occurrence, flat), items."""
     spark = docs.sparkSession
-    own = {f.name: f for f in docs.schema.fields}
-    names = list(dict.fromkeys([*keep, text_col]))
-    df = small_batches(docs).select(*names)
-    first = True
+    empty = F.lit(None).cast(_FOUND)
+    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col(text_col).alias("text"), empty.alias("found"))
+    out = df.schema
+    held = None
     for block in pattern_blocks(benchmark, item_col, item_text):
+        if held is not None:
+            df = checkpoint(df)
         held = spark.sparkContext.broadcast(block)
-        out = T.StructType([own[c] for c in names] + [T.StructField("__n", T.LongType()), T.StructField("__hits", T.ArrayType(T.IntegerType())), T.StructField("__items", T.ArrayType(T.StringType()))])
 
-        def run(batches, held=held, first=first):
+        def run(batches, held=held):
             search = WuManber(held.value)
             for batch in batches:
-                for part in slices(batch, text_col):
-                    words, found = search.find([t or "" for t in part.column(text_col).to_pylist()])
-                    n = part.num_rows
-                    hits = [[] for _ in range(n)] if first else part.column("__hits").to_pylist()
-                    items = [set() for _ in range(n)] if first else [set(x) for x in part.column("__items").to_pylist()]
+                for part in slices(batch, "text"):
+                    words, found = search.find([t or "" for t in part.column("text").to_pylist()])
+                    before = [x or {"hits": [], "items": []} for x in part.column("found").to_pylist()]
+                    hits, items = [x["hits"] for x in before], [set(x["items"]) for x in before]
                     if found:
                         text = np.searchsorted(words.first, [f[0] for f in found], side="right") - 1
                         for k, (at, m, ids) in zip(text.tolist(), found, strict=True):
                             hits[k] += [at - int(words.first[k]), m]
                             items[k].update(ids)
-                    made = [pa.array(np.diff(words.first), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), *made], names=out.names)
+                    made = pa.StructArray.from_arrays([pa.array(np.diff(words.first), pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["n", "hits", "items"])
+                    yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), made], names=out.names)
             give_back()
 
-        df = df.mapInArrow(run, out)
-        first = False
+        df = small_batches(df).mapInArrow(run, out)
     return df
 
 
@@ -153,6 +166,11 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
     return n_hit > 0 and 20 * n_hit >= n_words
 
 
+def leaks(hits: list[int], n_words: int) -> bool:
+    """Whether a document goes: by its share, or by any whole window."""
+    return is_contaminated(covered(hits), n_words) or any(m >= WINDOW for m in hits[1::2])
+
+
 _HITS = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items", T.ArrayType(T.StringType())), ("contaminated", T.BooleanType())]
 
 
@@ -161,29 +179,29 @@ def find_contamination(
 ) -> DataFrame:
     """`id_col`, n_words, n_hit, n_items, items (with `digest`: items_sha256), contaminated for every document."""
     fields = [(f"{'items_sha256' if digest and n == 'items' else n}", T.StringType() if digest and n == "items" else t) for n, t in _HITS]
-    out = T.StructType([f for f in docs.schema.fields if f.name == id_col][:1] + [T.StructField(n, t) for n, t in fields])
-    df = _passes(docs, benchmark, [id_col], text_col, item_col, item_text).select(id_col, "__n", "__hits", "__items")
+    out = T.StructType([T.StructField("row", T.StructType([f for f in docs.schema.fields if f.name == id_col][:1])), *(T.StructField(n, t) for n, t in fields)])
+    df = _passes(docs, benchmark, [id_col], text_col, item_col, item_text).select("row", "found")
 
     def run(batches):
         for b in batches:
-            n, items = b.column("__n").to_pylist(), b.column("__items").to_pylist()
-            hit = [covered(h) for h in b.column("__hits").to_pylist()]
-            told = pa.array([sha(",".join(x)) for x in items]) if digest else b.column("__items")
-            made = [b.column("__n"), pa.array(hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), told, pa.array([is_contaminated(h, k) for h, k in zip(hit, n, strict=True)], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([b.column(id_col), *made], names=out.names)
+            found = b.column("found").to_pylist()
+            hit = [covered(x["hits"]) for x in found]
+            told = pa.array([sha(",".join(x["items"])) for x in found], pa.string()) if digest else pa.array([x["items"] for x in found], pa.list_(pa.string()))
+            n = [x["n"] for x in found]
+            made = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(x["items"]) for x in found], pa.int64()), told, pa.array([is_contaminated(h, k) for h, k in zip(hit, n, strict=True)], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column("row"), *made], names=out.names)
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(run, out).select("row.*", *(n for n, _ in fields))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    df = _passes(docs, benchmark, docs.columns, text_col, item_col, item_text)
-    names = docs.columns
+    """The documents that do not leak the benchmark, with all their columns."""
+    df = _passes(docs, benchmark, docs.columns, text_col, item_col, item_text).select("row", "found")
+    out = T.StructType(df.schema.fields[:1])
 
     def run(batches):
         for b in batches:
-            n, hits = b.column("__n").to_pylist(), b.column("__hits").to_pylist()
-            clean = pa.array([not is_contaminated(covered(h), k) for h, k in zip(hits, n, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(clean) for c in names], names=names)
+            clean = pa.array([not leaks(x["hits"], x["n"]) for x in b.column("found").to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("row").filter(clean)], names=["row"])
 
-    return df.mapInArrow(run, docs.schema)
+    return df.mapInArrow(run, out).select("row.*")
