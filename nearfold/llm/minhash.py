@@ -11,11 +11,13 @@ the blocks of a cluster every pair is compared on its full sets, again keeping a
 100 * intersection >= 80 * union.  The components of these are the result.
 
 A pair at exactly the threshold misses every bucket with probability (1 - 0.8**5)**24, 7e-5, and the signature filter
-with some 2e-5.  Shingles are compared as 63-bit fingerprints.
+with some 2e-5.  Signatures and set keys come from 63-bit fingerprints of shingles; links are confirmed on the shingles
+themselves, numbered exactly.
 
 Cases: null or empty texts, or texts without words, have an empty set and link with nothing, as do rows with a null id
 (component null, kept); with fewer than `width` words the whole sequence is the one shingle; repeated rows and ids give a row
-each, by their own text; other columns are ignored; an empty table gives no rows.
+each, by their own text: classes are named by their set, never by an id; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -115,7 +117,7 @@ def _alike(batches):
     """A spanning forest, in every block of a bucket, of the members whose signatures agree enough."""
     least = SIGNAL * VALUES
     for table, cut in runs(batches, ["bucket", "lo", "hi"]):
-        ids = table.column("id").to_numpy()
+        ids = table.column("node").to_numpy()
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(-1, VALUES)
         size = np.diff(np.r_[cut, len(ids)]) if cut[-1] < len(ids) else np.diff(cut)
         begins = cut[: len(size)]
@@ -154,26 +156,56 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return forest(len(sets), near)
 
 
+class Numbers:
+    """Shingles as exact numbers, the same for the same words within one object; nothing is hashed."""
+
+    def __init__(self):
+        self.words: dict[bytes, int] = {}
+        self.short: dict[bytes, int] = {}
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """The words of each text."""
+        data = [t.encode("utf-8", "surrogatepass").translate(BLANK).split() for t in texts]
+        names = self.words
+        return [np.array([names.setdefault(x, len(names)) for x in words], dtype=np.int64) for words in data]
+
+    def sets(self, words: list[np.ndarray], width: int) -> list[np.ndarray]:
+        """The distinct shingles of each text; fewer than `width` words are one of their own, with a negative number."""
+        flat = np.concatenate([*words, np.zeros(0, np.int64)])
+        code = flat
+        for k in range(1, width):
+            left, right = code[: max(0, len(flat) - k)], flat[k:]
+            code = np.unique(left * (len(self.words) + 1) + right, return_inverse=True)[1]
+        first = np.r_[0, np.cumsum([len(w) for w in words])].tolist()
+        return [np.unique(code[a : b - width + 1]) if b - a >= width else np.array([-1 - self.short.setdefault(flat[a:b].tobytes(), len(self.short))]) for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
 def _verified(batches, width: int):
-    """A spanning forest, in every block of a cluster, of the members whose full sets are similar enough."""
+    """A spanning forest, in every block of a cluster, of the members whose full sets are similar enough.  A row whose
+    set is not that of its class, which another text with the same id can be, takes no part."""
     hasher = Hasher()
     for table, cut in runs(batches, ["cluster", "lo", "hi"]):
         texts = table.column("text")
         length = np.cumsum(pa.compute.binary_length(texts).to_numpy())
-        sets: list[np.ndarray] = []
+        keys, numbers = table.column("key").to_pylist(), Numbers()
+        own: list[bool] = []
+        words: list[np.ndarray] = []
         at = 0
         while at < len(length):
             to = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + SLICE_BYTES, side="right")))
-            sets += shingle_sets(texts.slice(at, to - at).to_pylist(), hasher, width)
+            some = texts.slice(at, to - at).to_pylist()
+            own += [set_key(s) == k for s, k in zip(shingle_sets(some, hasher, width), keys[at:to], strict=True)]
+            words += numbers.of(some)
             at = to
-        ids, keys = table.column("id").to_pylist(), table.column("key").to_pylist()
+        sets = numbers.sets(words, width)
+        nodes = table.column("node").to_pylist()
         a, b = [], []
-        bounds = [*cut.tolist(), len(ids)] if cut[-1] < len(ids) else cut.tolist()
+        bounds = [*cut.tolist(), len(nodes)] if cut[-1] < len(nodes) else cut.tolist()
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            own = {ids[k]: sets[k] for k in range(lo, hi) if set_key(sets[k]) == keys[k]}
-            if len(own) > 1:
-                names = list(own)
-                for i, j in linked(list(own.values())):
+            members = {nodes[k]: sets[k] for k in range(lo, hi) if own[k]}
+            if len(members) > 1:
+                names = list(members)
+                for i, j in linked(list(members.values())):
                     a.append(names[i])
                     b.append(names[j])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -185,38 +217,64 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """`id_col`, n_shingles, component_id (smallest id reachable by links), kept, for every row; ids are integers."""
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
-    signed = checkpoint(sign(docs, id_col, text_col, width))
-    has_set = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = checkpoint(has_set.groupBy("key").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")))
-    places = classes.select("id", F.explode("bands").alias("bucket"))
+def _classes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Signed rows (id, n_shingles, key, ...), and classes (key, id, component_id, first): the documents with the same set,
+    named by the set, their smallest id, the smallest id of their component, and whether they are the component's first
+    class, by id and set."""
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed = checkpoint(sign(docs, "id", "text", width))
+    has_set = signed.where("key IS NOT NULL AND id IS NOT NULL")
+    classes = has_set.groupBy("key").agg(F.min("id").alias("id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = checkpoint(classes.withColumn("node", F.monotonically_increasing_id()))
+    places = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = places.join(sizes, "bucket").join(classes.select("id", "signature"), "id")
-    alike = dealt(meet(shared, "bucket", "size", "id").select("bucket", "lo", "hi", "id", "signature"), "bucket")
+    shared = places.join(sizes, "bucket").join(classes.select("node", "signature"), "node")
+    alike = dealt(meet(shared, "bucket", "size", "node").select("bucket", "lo", "hi", "node", "signature"), "bucket")
     cluster = components(alike.mapInArrow(_alike, "a long, b long"))
-    whole = cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    whole = whole.unionByName(whole.select(F.col("cluster").alias("id"), "cluster").distinct())
+    whole = cluster.select("node", F.col("component").alias("cluster"))
+    whole = whole.unionByName(whole.select(F.col("cluster").alias("node"), "cluster").distinct())
     counts = whole.groupBy("cluster").agg(F.count("*").alias("size"))
-    members = checkpoint(whole.join(counts, "cluster").join(classes.select("id", "key"), "id"))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(_bounded(members), "id")
-    tasks = dealt(meet(rows, "cluster", "size", "id").select("cluster", "lo", "hi", "id", "key", "text"), "cluster")
+    members = checkpoint(whole.join(counts, "cluster").join(classes.select("node", "id", "key"), "node"))
+    rows = docs.where("text IS NOT NULL").join(_bounded(members), "id")
+    tasks = dealt(meet(rows, "cluster", "size", "node").select("cluster", "lo", "hi", "node", "key", "text"), "cluster")
     found = components(tasks.mapInArrow(lambda batches: _verified(batches, width), "a long, b long"))
-    root = classes.select("key", F.col("id").alias("first")).join(found.withColumnRenamed("node", "first"), "first", "left")
-    root = root.select("key", F.coalesce("component", "first").alias("root"))
-    out = signed.select("id", "n_shingles", "key").join(root, "key", "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "id")).cast("long")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    root = classes.select("key", "id", "node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # members of components of several classes: as many rows as `found` has, and their roots
+    several = root.join(_bounded(found.select("component").distinct()), "component")
+    least = several.groupBy("component").agg(F.min(F.struct("id", "key")).alias("least"))
+    root = root.join(_bounded(least), "component", "left")
+    return signed, root.select("key", "id", F.coalesce("least.id", "id").alias("component_id"), F.coalesce(F.col("least.key") == F.col("key"), F.lit(True)).alias("first"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """`id_col`, n_shingles, component_id (smallest id reachable by links), kept, for every row; ids are integers."""
+    signed, classes = _classes(docs, id_col, text_col, width)
+    named = F.col("key").isNotNull() & F.col("id").isNotNull()
+    linked_ = signed.where(named).select("id", "n_shingles", "key").join(classes.select("key", "component_id"), "key")
+    # rows without a set or an id never meet in a join: they may be any share of all rows
+    alone = signed.where(~named).select("id", "n_shingles", F.col("id").alias("component_id"))
+    out = linked_.select("id", "n_shingles", "component_id").unionByName(alone)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE) -> DataFrame:
-    """One document of each group of near copies, with all its columns: the one with the smallest id.  Rows with a null
-    id stay; of rows that share an id, one stays."""
-    groups = checkpoint(near_groups(docs, id_col, text_col, width))
-    kept = docs.join(_bounded(groups.where("NOT kept").select(id_col)), id_col, "left_anti")
-    if groups.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    """One document of each group of near copies, with all its columns: that with the smallest id, of different texts
+    with that id the one whose set comes first, of rows with the same id and set the first by all their columns.  Rows
+    without a set, and rows with a null id, all stay."""
+    signed, classes = _classes(docs, id_col, text_col, width)
+    named = F.col("key").isNotNull() & F.col("id").isNotNull()
+    told = signed.where(named).select("id", "key").join(classes.select("key", F.col("id").alias("least"), "first"), "key")
+    gone = checkpoint(told.select("id", "key", (F.col("first") & (F.col("id") == F.col("least"))).alias("stays")))
+    if gone.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs.join(_bounded(gone.where("NOT stays").select(F.col("id").alias(id_col))), id_col, "left_anti").select(docs.columns)
+
+    # the same id more than once: rows are told apart by their set
+    def make():
+        hasher = Hasher()
+        return lambda texts: [[set_key(s) if len(s) else None for s in shingle_sets(texts, hasher, width)]]
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row), "text", ["id", "row"], [("key", T.BinaryType())], make)
+    stays = gone.where("stays").select("id", "key").distinct()
+    one = keyed.where(named).join(_bounded(stays), ["id", "key"]).groupBy("id", "key").agg(F.min("row").alias("row"))
+    return one.select("row.*").unionByName(keyed.where(~named).select("row.*"))

@@ -81,7 +81,38 @@ def test_minhash_on_odd_rows(odd, none):
     assert all(by[k][0].component_id == k and by[k][0].kept and by[k][0].n_shingles == 0 for k in (2, 3, 4))
     assert minhash.near_groups(none).count() == 0
     kept = [r.doc_id for r in minhash.drop_near_copies(odd).collect()]
-    assert kept.count(6) == 1 and 7 not in kept and None in kept
+    assert kept.count(6) == 1 and 7 not in kept and None in kept and {2, 3, 4} <= set(kept)
+
+
+def test_one_id_for_different_texts(spark):
+    """Nothing that is nobody's copy goes, whatever other row has its id; of equal rows one stays."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    near = c.replace("c30", "x")
+    rows = [(5, a, "1"), (6, a, "2"), (6, b, "3"), (6, b, "4"), (7, "", "5"), (7, "", "5"), (8, c, "6"), (8, near, "7"), (9, None, "8"), (None, a, "9")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string")
+    kept = sorted((tuple(r) for r in minhash.drop_near_copies(df).collect()), key=str)
+    ours = [r for r in kept if r[0] == 8]
+    assert len(ours) == 1 and ours[0] in rows
+    assert [r for r in kept if r[0] != 8] == sorted([(5, a, "1"), (6, b, "3"), (7, "", "5"), (7, "", "5"), (9, None, "8"), (None, a, "9")], key=str)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_groups(df).collect() if r.doc_id in (5, 6, 8))
+    assert got == [(5, 57, 5), (6, 57, 5), (6, 57, 6), (6, 57, 6), (8, 57, 8), (8, 57, 8)]
+
+
+def test_words_that_a_weak_hash_cannot_tell_apart(spark):
+    """Texts that share nothing: words of letters in the order of Thue and Morse, and with both letters exchanged."""
+    t = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    df = spark.createDataFrame([(1, f"w x y {t}"), (2, "w x y " + t.translate({97: "b", 98: "a"}))], "doc_id long, text string")
+    assert minhash.near_groups(df).where("kept").count() == 2
+
+
+def test_exact_numbers_of_shingles():
+    texts = ["a b c d e", "a b c d e a b c d", "a b", "a  B", "e d c b a", "a b c d f", "x"]
+    n = minhash.Numbers()
+    got = n.sets(n.of(texts), 4)
+    want = [shingles(t) for t in texts]
+    for p in range(len(texts)):
+        for q in range(len(texts)):
+            assert len(np.intersect1d(got[p], got[q])) == len(want[p] & want[q]) and len(got[p]) == len(want[p])
 
 
 def test_signature_agreement_estimates_similarity():
