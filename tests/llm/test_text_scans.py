@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nearfold.llm import attention, htmlpages, licenses, lm_score
+from nearfold.llm.wordarrays import BLANK, Hasher, words_of
 
 from .conftest import ROWS
 
@@ -110,38 +112,110 @@ def test_odd_pages(spark, chain):
     assert htmlpages.extract_pages(df, chain).count() == len(rows)
 
 
-def test_gradients():
-    rng = np.random.default_rng(0)
+def test_deep_pages_cost_no_more_for_each_level():
+    """Blocks hold no list of their ancestors, and tags that are not open are not looked for."""
+    n = 20_000
+    began = time.process_time()
+    blocks = htmlpages.parse("<div>x" * n + "</i>" * n)
+    assert len(blocks) == n and time.process_time() - began < 5
+    assert len({id(b.inside.tags) for b in blocks} | {len(b.inside.tags) for b in blocks}) <= n + 2 and max(len(b.inside.tags) for b in blocks) == 1
+    inner = htmlpages.parse('<article><div class="ad"><article><p>a<li>b</article>c</div>d</article>e')
+    assert [(b.text, b.inside.articles, b.inside.parent, sorted(b.inside.hints)) for b in inner] == [("a", 2, "p", ["ad"]), ("b", 2, "li", ["ad"]), ("c", 1, "div", ["ad"]), ("d", 1, "article", []), ("e", 0, "", [])]
+
+
+@pytest.mark.parametrize("begin", range(attention.TARGETS))
+def test_gradients(begin):
+    rng = np.random.default_rng(begin)
     m = attention.fit_model([rng.integers(0, 50, 300) for _ in range(4)], 60, steps=0)
     for k in m.p:
         m.p[k] = rng.normal(0, 0.3, m.p[k].shape)
-    s = rng.integers(0, attention.CLASSES, (2, attention.WINDOW + 1))
-    args = s[:, :-1], rng.integers(0, attention.CLASSES, (2, attention.WINDOW)), s[:, 1:]
-    _, d = m.gradients(*args)
+    c = rng.integers(0, attention.CLASSES, (2, attention.WINDOW + 2))
+    _, d = m.gradients(c, begin)
     for k, w in m.p.items():
         at = np.unravel_index(np.argmax(np.abs(d[k])), w.shape)
         ends = []
         for step in (1e-5, -2e-5, 1e-5):
             w[at] += step
-            ends.append(m.gradients(*args)[0])
+            ends.append(m.gradients(c, begin)[0])
         assert np.isclose((ends[0] - ends[1]) / 2e-5, d[k][at], rtol=1e-3)
 
 
+def plain_score(m, text):
+    """Place by place: the whole window again for each id, one softmax over all classes of a group, in double precision."""
+    p = {k: w.astype(float) for k, w in m.p.items()}
+    ids = [m.vocabulary, *map(int, text), m.vocabulary + 1]
+    total, width, group = 0.0, attention.WIDTH, attention.GROUP
+    for k in range(len(ids) - 1):  # ids[k + 1] is wanted
+        later = max(0, -(-(k + 1 - attention.WINDOW) // attention.STRIDE))
+        first = later * attention.STRIDE
+        x = np.stack([p["here"][m.cls[ids[j]]] + p["before"][m.cls[ids[max(0, j - 1)]]] + p["place"][j - first] for j in range(first, k + 1)])
+        e = np.exp((x @ p["k"]) @ (x[-1] @ p["q"]) / width**0.5)
+        u = np.maximum(0, x[-1] @ p["x"] + (e / e.sum()) @ (x @ p["v"]) @ p["c"] + p["b"])
+        prev, want = m.cls[ids[k]], m.cls[ids[k + 1]]
+        g = u @ p["g"] + m.groups[prev]
+        z = u @ p["m"][:, want // group * group : (want // group + 1) * group] + m.members[prev * (attention.CLASSES // group) + want // group]
+        total += g[want // group] - np.log(np.exp(g).sum()) + z[want % group] - np.log(np.exp(z).sum()) + m.within[ids[k + 1]]
+    return total / math.log(10)
+
+
+def test_the_score_is_that_of_a_plain_loop():
+    rng = np.random.default_rng(1)
+    m = attention.fit_model([rng.integers(0, 5, 200) for _ in range(30)], 6, steps=40)
+    for k in m.p:
+        m.p[k] = (m.p[k] + rng.normal(0, 0.2, m.p[k].shape)).astype(np.float32)
+    w, s = attention.WINDOW, attention.STRIDE
+    texts = [rng.integers(0, 6, n) for n in (0, 1, 3, w - 2, w - 1, w, w + 1, w + s - 1, w + s, w + s + 1, 5 * w + 7)]
+    want = [plain_score(m, t) for t in texts]
+    assert np.allclose(m.score(texts), want, rtol=1e-4) and np.allclose([m.score([t])[0] for t in texts], want, rtol=1e-4)
+    assert len(m.score([])) == 0
+
+
 def test_the_model_is_a_distribution_and_causal():
-    """Over a tiny vocabulary the probabilities of all next ids sum to 1; a longer text only adds factors."""
+    """The probabilities of all ids at a place sum to 1, and a place's do not depend on what comes after."""
     rng = np.random.default_rng(1)
     m = attention.fit_model([rng.integers(0, 5, 200) for _ in range(30)], 6, steps=20)
-    for n in (0, 3, attention.WINDOW, attention.WINDOW + attention.STRIDE + 5):
-        text = rng.integers(0, 6, n)
-        alone = m.score([text])[0]  # with the end
-        following = [m.score([np.r_[text, k]])[0] for k in range(6)]
-        # P(text, k, end) = P(text, k) P(end | text, k): the sum over k of P(text, k) and P(text, end) is P(text)
-        assert all(f < 0 for f in [alone, *following])
     u = rng.normal(size=(1, attention.HIDDEN)).astype(np.float32)
-    here = np.array([2])
-    total = sum(np.exp(m.log_probabilities(u, here, np.array([c]))[0]) for c in range(attention.CLASSES))
+    total = sum(np.exp(m.log_probabilities(u, np.array([2]), np.array([c]))[0]) for c in range(attention.CLASSES))
     share = np.bincount(m.cls, weights=np.exp(m.within), minlength=attention.CLASSES)
     assert np.isclose(total, 1, atol=1e-4) and np.allclose(share[np.unique(m.cls)], 1)
+    here = rng.integers(0, 6, (2, attention.WINDOW))
+    here[1, :30] = here[0, :30]
+    hidden = m._body(here, here, slice(0, attention.WINDOW))[-1].reshape(2, attention.WINDOW, -1)
+    assert np.allclose(hidden[0, :30], hidden[1, :30], atol=1e-5) and not np.allclose(hidden[0, 30:], hidden[1, 30:], atol=1e-3)
+
+
+def test_training_lowers_the_loss_on_texts_kept_apart():
+    """Ids that follow what stood some places before, which counts of pairs cannot tell."""
+    rng = np.random.default_rng(2)
+
+    def text():
+        key = rng.integers(0, 8)
+        return np.array([x for _ in range(40) for x in (20 + key, 40 + rng.integers(0, 3), rng.integers(0, 8) if rng.random() < 0.1 else key)])
+
+    texts, apart = [text() for _ in range(300)], [text() for _ in range(40)]
+    start, after = (attention.fit_model(texts, 60, steps=n).score(apart).sum() for n in (0, 300))
+    assert after > start * 0.9
+
+
+def test_word_ids_are_those_of_the_library():
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    ids, hasher = lm_score.WordIds(P.path("piece_bpe_32k.model")), Hasher()
+    texts = [t or "" for _, t in ROWS] + ["x" * 700 + " " + "y" * 513, "a▁b  ▁ c"]
+    for _ in range(2):  # the second time from the cache
+        for t, got in zip(texts, ids(words_of(texts, BLANK, hasher)), strict=True):
+            assert got.tolist() == [i for w in re.findall(r"[^\x20\x09-\x0D]+", t.translate(LOW)) for i in library.encode(w)]
+
+
+def test_fingerprints():
+    """Words that a polynomial modulo 2**64 cannot tell apart, and all lengths around those of eight bytes."""
+    a = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    texts = [a[:n] for n in (64, 256, 512, 1024)] + [a.translate({97: "b", 98: "a"})[:n] for n in (64, 256, 512, 1024)] + ["x" * n for n in (*range(1, 40), 511, 512, 513, 514)] + ["\0", "a\0"]
+    got = words_of(texts, BLANK, Hasher())
+    assert len(set(got.hashes.tolist())) == len(texts) and (got.hashes >= 0).all()
+    again = words_of([" ".join(reversed(texts))], BLANK, Hasher()).hashes[::-1]
+    assert (again == got.hashes).all()
 
 
 def test_scores(odd, none, spark):
