@@ -62,6 +62,16 @@ def levenshtein(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 METRICS: dict[str, Block] = {f.__name__: f for f in (euclidean, sqeuclidean, manhattan, cosine, levenshtein)}
 
 
+#: Those that keep the triangle inequality.
+_TRUE = {"euclidean", "manhattan", "levenshtein"}
+
+
+def is_metric(metric: str | Block) -> bool:
+    """Whether searches may prune by the triangle inequality.  A function of one's own says so by an attribute:
+    f.is_metric = True."""
+    return bool(getattr(metric, "is_metric", False)) if callable(metric) else metric in _TRUE
+
+
 def each_pair(f: Callable[[object, object], float]) -> Block:
     """A distance of two samples as a distance of two blocks; a Python call for each pair, so the slow way."""
     return lambda a, b: np.array([[f(x, y) for y in b] for x in a], dtype=float).reshape(len(a), len(b))

@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from nearfold.functions.distances import Block, block_of
+from nearfold.operators import neighbors
 from nearfold.operators.neighbors import _compared
+from nearfold.sources.folders import once
 
 TOLERANCE, TRIES = 1e-5, 200
 SMALLEST, EPSILON, LARGEST = 2.2250738585072014e-308, 2.220446049250313e-16, 1.7976931348623157e308
@@ -100,7 +102,9 @@ def symmetric(p: DataFrame) -> DataFrame:
 
 
 def normalized(p: DataFrame, exaggeration: float = EXAGGERATION) -> DataFrame:
-    """p times the exaggeration over the sum of all; the one row of the sum is broadcast."""
+    """p times the exaggeration over the sum of all; the one row of the sum is broadcast.  p, needed twice, is computed
+    once."""
+    p = once(p)
     total = p.agg(F.sum("p").alias("total"))
     return p.join(F.broadcast(total)).select("i", "j", (exaggeration * F.col("p") / (F.col("total") + EPSILON)).alias("p"))
 
@@ -128,13 +132,34 @@ def dense_rows(points: DataFrame, perplexity: float, metric: str | Block = "eucl
     otherwise.  A task holds a few rows of the matrix; the whole of it is the result."""
     block = block_of(metric)
 
-    def one(ids, values, others, all_values):
+    def distances(ids, values, others, all_values):
         d = block(values, all_values)
         d[ids[:, None] == others[None, :]] = 0 if include_self else 1e150
-        p = search_beta(d, perplexity, shrink)[4]
-        return np.repeat(ids, len(others)), np.tile(others, len(ids)), p.ravel()
+        return d
 
-    return _compared(points, one, "i long, j long, p double", whole=True)
+    if neighbors._weight(points)[1] <= neighbors.BROADCAST_BYTES:
+
+        def one(ids, values, others, all_values):
+            p = search_beta(distances(ids, values, others, all_values), perplexity, shrink)[4]
+            return np.repeat(ids, len(others)), np.tile(others, len(ids)), p.ravel()
+
+        return _compared(points, one, "i long, j long, p double")
+
+    def some(ids, values, others, all_values):
+        d = distances(ids, values, others, all_values)
+        return ids, [others] * len(ids), list(d)
+
+    rows = _compared(points, some, "i long, j array<long>, d array<double>").groupBy("i").agg(F.flatten(F.collect_list("j")).alias("j"), F.flatten(F.collect_list("d")).alias("d"))
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                j, d = (b.column(c).slice(at, 1).flatten().to_numpy() for c in ("j", "d"))
+                order = np.argsort(j)
+                p = search_beta(d[order][None, :], perplexity, shrink)[4][0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("i")[at].as_py(), len(j))), pa.array(j[order]), pa.array(p)], names=["i", "j", "p"])
+
+    return rows.mapInArrow(run, "i long, j long, p double")
 
 
 def dense_joint(p: DataFrame) -> DataFrame:

@@ -1,12 +1,15 @@
 """Space-partitioning cells and the Barnes-Hut repulsion.
 
 Level L cuts the root cell into 2**L parts along each axis; a point's cell is found by a floor held inside the root, so
-no point is lost on its border.  A cell is a leaf if all its points coincide, or at the last level.  There are no more
-than sum(2**(dims * L)) cells, whatever the number of points: that bounds the table that is broadcast, and the repulsion
-needs no shuffle.
+no point is lost on its border.  A cell is a leaf if all its points coincide; other cells are cut on, down to LEVELS, where
+their width is below the rounding of positions.  A target takes a cell as a whole if it is a leaf or half-width / distance
+< theta; in a leaf that holds the target itself that one is not counted.  As theta goes to 0 the sums become those over
+all pairs.
 
-A target takes a cell as a whole if it is a leaf or half-width / distance < theta; in a leaf that holds the target itself
-that one is not counted.
+Over DataFrames the cells down to a depth are one aggregate, no more than CELLS rows, which are broadcast as a tree.  Where
+a target needs more of a last-level cell, it asks the points of that cell, in a second step: both are dealt by cell, the
+points as distinct positions with their numbers, and each cell's points become a tree of their own.  Cells of many points
+are few unless positions are heaped up; their asking targets are split over several tasks.
 """
 
 from __future__ import annotations
@@ -19,14 +22,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.operators.layout import coordinates
+from nearfold.sources.folders import once
 
 #: Cells that may be broadcast: about 50 bytes each.
 CELLS = 1 << 20
+#: Levels of a tree at most.
+LEVELS = 50
+#: Targets that ask one cell in one task.
+ASKS = 50_000
 
 
 def default_depth(dims: int) -> int:
-    depth = 1
-    while sum(2 ** (dims * k) for k in range(depth + 2)) <= CELLS and depth < 12:
+    """The most levels, up to 12, whose cells are at most CELLS; 0, the root alone, beyond 20 dimensions."""
+    depth = 0
+    while depth < 12 and sum(2 ** (dims * k) for k in range(depth + 2)) <= CELLS:
         depth += 1
     return depth
 
@@ -52,121 +61,232 @@ def cell_table(y: DataFrame, depth: int) -> DataFrame:
     same = F.lit(True)
     for c in names:
         same = same & (F.min(c) == F.max(c))
-    cells = placed.groupBy("level", *(f"k{k}" for k in dims)).agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{k}") for k, c in enumerate(names)), (F.first("w") / F.pow(F.lit(2.0), F.first("level"))).alias("w"), same.alias("same"))
-    return cells.withColumn("leaf", F.col("same") | (F.col("level") == depth)).drop("same")
+    cells = placed.groupBy("level", *(f"k{k}" for k in dims)).agg(F.count("*").alias("n"), *(F.when(same, F.min(c)).otherwise(F.avg(c)).alias(f"m{k}") for k, c in enumerate(names)), (F.first("w") / F.pow(F.lit(2.0), F.first("level"))).alias("w"), same.alias("same"))
+    return cells.withColumn("leaf", F.col("same")).drop("same")
 
 
 @dataclass
 class CellTree:
-    """The cells as arrays, breadth first, children of a cell together."""
+    """The cells as arrays, children of a cell together, a cell with only one child left out for that child."""
 
-    center: np.ndarray
-    half: np.ndarray
-    level: np.ndarray
-    key: np.ndarray
     n: np.ndarray
     mass: np.ndarray
-    width: np.ndarray
+    width: np.ndarray  # largest half-width; of a leaf, how far its points may be from its mass
     leaf: np.ndarray
     first: np.ndarray  # first child
     children: np.ndarray
+    cell: np.ndarray  # number of a cell that is no leaf and has no children here, else -1
 
     @classmethod
-    def build(cls, y: np.ndarray, depth: int) -> CellTree:
-        """Of positions (points x dims)."""
-        dims = y.shape[1]
-        center = y.mean(axis=0)
+    def build(cls, y: np.ndarray, weight: np.ndarray | None = None) -> CellTree:
+        """Of positions (points x dims), each counted `weight` times, down to single ones."""
+        weight = np.ones(len(y)) if weight is None else weight.astype(float)
+        center = np.average(y, axis=0, weights=weight)
         half = np.maximum(y.max(axis=0) - center, center - y.min(axis=0)) + 2.2250738585072014e-308
-        rows = np.arange(len(y))
-        parts = []
-        for level in range(depth + 1):
-            k = _keys(y[rows], center, half, level)
-            code = k[:, 0]
-            for a in range(1, dims):
-                code = (code << level) | k[:, a] if dims * level < 62 else code * (1 << 31) + k[:, a]
-            order = np.argsort(code, kind="stable")
-            cut = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
-            own = y[rows[order]]
-            n = np.diff(np.r_[cut, len(order)])
-            leaf = (np.minimum.reduceat(own, cut) == np.maximum.reduceat(own, cut)).all(axis=1) | (level == depth)
-            parts.append((np.full(len(cut), level), k[order[cut]], n, np.add.reduceat(own, cut) / n[:, None], np.full(len(cut), half.max() / 2.0**level), leaf))
-            rows = rows[order[np.repeat(~leaf, n)]]
-            if not len(rows):
+        scaled = np.clip((y - (center - half)) / (2 * half), 0, 1 - 2.0**-53)
+        order, bounds = np.arange(len(y)), np.array([0, len(y)])  # points by cell of this level
+        node = np.zeros(1, dtype=np.int64)  # number of each cell of this level
+        parts: dict[str, list[np.ndarray]] = {k: [] for k in ("n", "mass", "width", "leaf")}
+        links = []
+        made = 0
+
+        def add(order: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            """New cells; says which are leaves."""
+            own, w, at = y[order], weight[order], bounds[:-1]
+            n = np.add.reduceat(w, at)
+            same = (np.minimum.reduceat(own, at) == np.maximum.reduceat(own, at)).all(axis=1)
+            mass = np.where(same[:, None], own[at], np.add.reduceat(own * w[:, None], at) / n[:, None])
+            for k, x in (("n", n), ("mass", mass), ("width", np.zeros(len(n))), ("leaf", same)):
+                parts[k].append(x)
+            return same
+
+        leaf = add(order, bounds)
+        made = 1
+        widths = [(node, 0)]
+        for level in range(1, LEVELS + 1):
+            size = np.diff(bounds)
+            order, node, size = order[np.repeat(~leaf, size)], node[~leaf], size[~leaf]
+            if not len(node):
                 break
-        return cls.of(center, half, *(np.concatenate(c) for c in zip(*parts, strict=True)))
+            parent = np.repeat(np.arange(len(node)), size)
+            code = parent
+            bit = np.floor(scaled[order] * 2.0**level).astype(np.int64) & 1
+            for a in range(0, bit.shape[1], 20):  # 20 axes at a time keep the numbers small
+                some = bit[:, a : a + 20] @ (1 << np.arange(bit[:, a : a + 20].shape[1]))
+                code = np.unique(code << 20 | some, return_inverse=True)[1]
+            by = np.argsort(code, kind="stable")
+            order, parent, code = order[by], parent[by], code[by]
+            bounds = np.flatnonzero(np.r_[True, code[1:] != code[:-1], True])
+            up = parent[bounds[:-1]]
+            several = np.bincount(up, minlength=len(node))
+            split = several[up] > 1
+            # a cell with one child becomes that child: the same points in a narrower cell
+            child = node[up]
+            new_bounds, keep = bounds, np.repeat(split, np.diff(bounds))
+            leaf = np.zeros(len(up), dtype=bool)
+            if split.any():
+                lengths = np.diff(bounds)[split]
+                leaf[split] = add(order[keep], np.r_[0, np.cumsum(lengths)])
+                child = child.copy()
+                child[split] = made + np.arange(split.sum())
+                heads = np.flatnonzero(split & np.r_[True, up[1:] != up[:-1]])
+                links.append((node[up[heads]], child[heads], several[up[heads]]))
+                made += int(split.sum())
+            widths.append((child[~leaf], level))
+            node, bounds = child, new_bounds
+        n, mass, width, is_leaf = (np.concatenate(parts[k]) for k in ("n", "mass", "width", "leaf"))
+        for own, level in widths:
+            width[own] = half.max() / 2.0**level
+        first, children = np.zeros(made, dtype=np.int64), np.zeros(made, dtype=np.int64)
+        for own, begin, many in links:
+            first[own], children[own] = begin, many
+        last = ~is_leaf & (children == 0)  # at the last level: points that rounding cannot tell apart
+        width[last] *= 2 * y.shape[1] ** 0.5
+        width[is_leaf] = 0
+        return cls(n, mass, width, is_leaf | last, first, children, np.full(made, -1))
 
     @classmethod
-    def of(cls, center, half, level, key, n, mass, width, leaf) -> CellTree:
+    def of(cls, level, key, n, mass, width, leaf) -> CellTree:
         """Of a cell table; cells under a leaf do not count."""
         order = np.lexsort((*reversed((key >> 1).T), level))
         level, key, n, mass, width, leaf = (x[order] for x in (level, key, n, mass, width, leaf))
-        up = {(int(lv), *map(int, k)): r for r, (lv, k) in enumerate(zip(level, key, strict=True)) if not leaf[r]}
+        last = level.max(initial=0)
         first, children = np.zeros(len(level), dtype=np.int64), np.zeros(len(level), dtype=np.int64)
-        for r in range(len(level)):
-            parent = up.get((int(level[r]) - 1, *map(int, key[r] >> 1)))
-            if parent is not None:
-                first[parent] = r if not children[parent] else first[parent]
-                children[parent] += 1
-        return cls(center, half, level, key, n, mass, width, leaf, first, children)
+        begin = np.searchsorted(level, np.arange(last + 2))
+        for lv in range(1, last + 1):
+            above, own = np.arange(begin[lv - 1], begin[lv]), np.arange(begin[lv], begin[lv + 1])
+            # both sides numbered by their keys; a level's cells come in the order of their parents' keys
+            _, code = np.unique(np.concatenate([key[above], key[own] >> 1]), axis=0, return_inverse=True)
+            code = code.ravel()
+            where = np.full(code.max(initial=0) + 1, -1)
+            where[code[: len(above)]] = above
+            parent = where[code[len(above) :]]
+            heads = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
+            first[parent[heads]] = own[heads]
+            children[parent[heads]] = np.diff(np.r_[heads, len(own)])
+        children[leaf] = 0
+        cell = np.where(~leaf & (level == last), np.arange(len(level)) - begin[last], -1)
+        return cls(n.astype(float), mass, np.where(leaf, 0.0, width), leaf, first, children, cell)
 
     def repulsion(self, y: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray]:
         """Sums over the cells that each target takes: N q^2 (y - center of mass), and N q."""
+        force, total, point, _ = self.walk(y, theta)
+        if len(point):
+            raise ValueError("the tree does not go down to single points")
+        return force, total
+
+    def walk(self, y: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The sums, and the targets and cells where more than the tree holds is needed."""
         force, total = np.zeros_like(y), np.zeros(len(y))
         point, cell = np.arange(len(y)), np.zeros(len(y), dtype=np.int64)
+        open_point, open_cell = [point[:0]], [cell[:0]]
         while len(point):
             diff = y[point] - self.mass[cell]
             d2 = (diff * diff).sum(axis=1)
-            take = self.leaf[cell] | (self.width[cell] < theta * np.sqrt(d2))
-            p, c = point[take], cell[take]
-            n = self.n[c].astype(float)
-            inside = self.leaf[c].copy()
-            at = np.flatnonzero(inside)
-            for lv in np.unique(self.level[c[at]]):
-                own = at[self.level[c[at]] == lv]
-                inside[own] = (_keys(y[p[own]], self.center, self.half, int(lv)) == self.key[c[own]]).all(axis=1)
-            n -= inside
-            q = 1 / (1 + d2[take])
-            total += np.bincount(p, weights=n * q, minlength=len(y))
+            leaf = self.leaf[cell]
+            take = leaf | (self.width[cell] < theta * np.sqrt(d2))
+            p, c, near = point[take], cell[take], d2[take]
+            n = self.n[c] - (leaf[take] & (near <= self.width[c] ** 2))  # a leaf that holds the target
+            q = 1 / (1 + near)
+            w = n * q
+            total += np.bincount(p, weights=w, minlength=len(y))
+            w *= q
             for k in range(y.shape[1]):
-                force[:, k] += np.bincount(p, weights=n * q * q * diff[take, k], minlength=len(y))
+                force[:, k] += np.bincount(p, weights=w * diff[take, k], minlength=len(y))
             point, cell = point[~take], cell[~take]
+            below = self.cell[cell] >= 0
+            if below.any():
+                open_point.append(point[below])
+                open_cell.append(self.cell[cell[below]])
+                point, cell = point[~below], cell[~below]
             many = self.children[cell]
             nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
             cell = np.repeat(self.first[cell], many) + nth
             point = np.repeat(point, many)
-        return force, total
-
+        return force, total, np.concatenate(open_point), np.concatenate(open_cell)
 
-def _keys(y: np.ndarray, center: np.ndarray, half: np.ndarray, level: int) -> np.ndarray:
-    part = 2.0**level
-    return np.clip(np.floor((y - (center - half)) * part / (2 * half)), 0, part - 1).astype(np.int64)
 
-
-def tree_of(y: DataFrame, depth: int) -> CellTree:
-    """The cell table of positions as a tree on the driver; its size is bounded by the depth."""
+def tree_of(y: DataFrame, depth: int) -> tuple[CellTree, np.ndarray, np.ndarray, np.ndarray]:
+    """The cell table of positions as a tree on the driver, whose size the depth bounds; the keys of the cells of the
+    last level that are no leaves, by number; and center and half-widths of the root."""
     dims = len(coordinates(y))
-    if sum(2 ** (dims * k) for k in range(depth + 1)) > CELLS:
+    if depth and sum(2 ** (dims * k) for k in range(depth + 1)) > CELLS:
         raise ValueError(f"depth {depth} may have more than {CELLS} cells in {dims} dimensions")
     root = root_cell(y).first()
     t = cell_table(y, depth).toArrow()
     col = lambda c: t.column(c).to_numpy()
     several = lambda c: np.stack([col(f"{c}{k}") for k in range(dims)], axis=1)
     center, half = (np.array([root[f"{c}{k}"] for k in range(dims)]) for c in "cw")
-    return CellTree.of(center, half, col("level"), several("k"), col("n"), several("m"), col("w"), col("leaf"))
+    level, key, leaf = col("level"), several("k"), col("leaf").astype(bool)
+    tree = CellTree.of(level, key, col("n"), several("m"), col("w"), leaf)
+    order = np.lexsort((*reversed((key >> 1).T), level))
+    last = order[level[order] == level.max(initial=0)]
+    return tree, key[last], center, half
+
+
+def _keys(y: np.ndarray, center: np.ndarray, half: np.ndarray, level: int) -> np.ndarray:
+    part = 2.0**level
+    return np.clip(np.floor((y - (center - half)) * part / (2 * half)), 0, part - 1).astype(np.int64)
 
 
 def repulsion(y: DataFrame, theta: float, depth: int | None = None) -> DataFrame:
-    """(id, r0, r1, ..., q) of every position: map-only over a broadcast tree."""
+    """(id, r0, r1, ..., q) of every position: map-only over a broadcast tree, and a second step, dealt by cell, for what
+    lies below its last level."""
     if not theta > 0:
         raise ValueError("theta must be positive")
     names = coordinates(y)
-    held = y.sparkSession.sparkContext.broadcast(tree_of(y, default_depth(len(names)) if depth is None else depth))
-    out = ["id", *(f"r{k}" for k in range(len(names))), "q"]
+    dims = len(names)
+    spark = y.sparkSession
+    depth = default_depth(dims) if depth is None else depth
+    tree, keys, center, half = tree_of(y, depth)
+    held = spark.sparkContext.broadcast((tree, keys, center, half))
+    forces = ", ".join(f"{c} double" for c in (*(f"r{k}" for k in range(dims)), "q"))
+    kinds = ", ".join(f"{c} double" for c in names)
 
     def run(batches):
+        tree = held.value[0]
+        for b in batches:
+            own = np.stack([b.column(c).to_numpy() for c in names], axis=1)
+            force, q, point, cell = tree.walk(own, theta)
+            asks = np.split(cell[np.argsort(point, kind="stable")], np.cumsum(np.bincount(point, minlength=len(own)))[:-1])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, force.T), pa.array(q), pa.array(asks, pa.list_(pa.int64()))], names=["id", *names, *(f"r{k}" for k in range(dims)), "q", "asks"])
+
+    first = y.select("id", *names).mapInArrow(run, f"id long, {kinds}, {forces}, asks array<long>")
+    sums = ["id", *(f"r{k}" for k in range(dims)), "q"]
+    if not (tree.cell >= 0).any():
+        return first.select(sums)
+    first = once(first)
+    asked = first.select("id", *names, F.explode("asks").alias("cell"))
+    counts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))  # a row for each cell of the last level
+
+    def place(batches):
+        _, keys, center, half = held.value
+        number = {k.tobytes(): n for n, k in enumerate(keys)}
+        for b in batches:
+            own = np.stack([b.column(c).to_numpy() for c in names], axis=1)
+            cell = np.array([number.get(k.tobytes(), -1) for k in _keys(own, center, half, depth)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*names, "cell"])
+
+    points = y.select(*names).mapInArrow(place, f"{kinds}, cell long").groupBy("cell", *names).agg(F.count("*").alias("n"))
+    points = points.join(F.broadcast(counts), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), *names, "n")
+    asked = asked.join(F.broadcast(counts), "cell").select("cell", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "id", *names, F.lit(0).cast("long").alias("n"))
+    both = points.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("n") == 0)
+
+    def near(batches):
+        at, parts, tree = None, [], None  # the cell at work: its points so far, and the tree once targets come
         for b in batches:
+            cell, part, n = (b.column(c).to_numpy() for c in ("cell", "part", "n"))
             own = np.stack([b.column(c).to_numpy() for c in names], axis=1)
-            force, q = held.value.repulsion(own, theta)
-            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(force[:, k]) for k in range(len(names))), pa.array(q)], names=out)
+            cut = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | ((n[1:] == 0) != (n[:-1] == 0)), True])
+            for x, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if at != (cell[x], part[x]):
+                    at, parts, tree = (cell[x], part[x]), [], None
+                if n[x]:
+                    parts.append((own[x:z], n[x:z]))
+                    continue
+                tree = tree or CellTree.build(np.concatenate([p for p, _ in parts]), np.concatenate([m for _, m in parts]))
+                force, q = tree.repulsion(own[x:z], theta)
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(x, z - x), *map(pa.array, force.T), pa.array(q)], names=sums)
 
-    return y.select("id", *names).mapInArrow(run, "id long, " + ", ".join(f"{c} double" for c in out[1:]))
+    more = both.mapInArrow(near, f"id long, {forces}")
+    return first.select(sums).unionByName(more).groupBy("id").agg(*(F.sum(c).alias(c) for c in sums[1:]))

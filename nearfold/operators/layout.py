@@ -7,11 +7,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfold.sources.folders import once
+
+#: Rows of positions that may be broadcast: some 30 bytes each in two dimensions.
+SMALL = 1_000_000
+
 
 def coordinates(y: DataFrame) -> list[str]:
     return [c for c in y.columns if c[0] == "y" and c[1:].isdigit()]
 
 
+def is_small(y: DataFrame) -> bool:
+    """Whether positions may be broadcast; if not, both sides of a join with them are shuffled."""
+    return y.limit(SMALL + 1).count() <= SMALL
+
+
 def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
@@ -21,6 +31,8 @@ def _ends(edges: DataFrame, y: DataFrame) -> tuple[DataFrame, list[Column], Colu
     names = coordinates(y)
     a = y.select(F.col("id").alias("i"), *(F.col(c).alias(f"a_{c}") for c in names))
     b = y.select(F.col("id").alias("j"), *(F.col(c).alias(f"b_{c}") for c in names))
+    if is_small(y):
+        a, b = F.broadcast(a), F.broadcast(b)
     diff = [F.col(f"a_{c}") - F.col(f"b_{c}") for c in names]
     return edges.join(a, "i").join(b, "j"), diff, 1 / (1 + _sum([x * x for x in diff]))
 
@@ -47,6 +59,7 @@ def exact_gradient(p: DataFrame, y: DataFrame) -> DataFrame:
 
 def gradient(rows: DataFrame, dims: int) -> DataFrame:
     """(id, g...) = f - r / Q of rows (id, f..., r..., q), Q being the sum of q; its one row is broadcast."""
+    rows = once(rows)  # a row for each sample, needed twice
     total = rows.agg(F.sum("q").alias("q_sum"))
     return rows.join(F.broadcast(total)).select("id", *((F.col(f"f{k}") - F.col(f"r{k}") / F.col("q_sum")).alias(f"g{k}") for k in range(dims)))
 
@@ -69,6 +82,7 @@ def update(state: DataFrame, learning_rate: float, momentum: float, dims: int) -
 def zero_mean(y: DataFrame) -> DataFrame:
     """The positions less their mean; other columns stay."""
     names = coordinates(y)
+    y = once(y)
     mean = y.agg(*(F.avg(c).alias(f"mean_{c}") for c in names))
     return y.join(F.broadcast(mean)).select(*((F.col(c) - F.col(f"mean_{c}")).alias(c) if c in names else c for c in y.columns))
 

@@ -1,8 +1,13 @@
 """Pairs and nearest neighbours, exact for any distance.
 
-Samples come as (id long, v).  Up to BROADCAST_BYTES the samples are broadcast and every task compares its own rows with
-all; beyond, they are dealt into blocks, and every two blocks meet in a task of bounded size, so that neither memory nor
-a broadcast grows with the data.
+Samples come as (id long, v).  Up to BROADCAST_BYTES the samples are broadcast: pairs compare each task's rows with all,
+neighbours come from a vantage-point tree of all (metric_tree.py).
+
+Beyond, pairs are dealt into blocks, and every two blocks meet in a task of bounded size: their number is that of the
+result.  Neighbours are dealt into cells around pivots, a bounded sample, large cells into several parts.  Every sample
+first asks its own part, which gives it a bound; then only those parts that may hold something nearer, by the triangle
+inequality: a cell's pivot and radius, or the plane between two pivots, keep it off.  A task holds one part's tree, and
+the samples that ask stream by; many askers of one part are split.  Without a metric nothing keeps a part off.
 """
 
 from __future__ import annotations
@@ -18,15 +23,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearfold.functions.distances import Block, block_of
+from nearfold.functions.distances import Block, block_of, is_metric
+from nearfold.operators.metric_tree import SLACK, MetricTree
+from nearfold.sources.folders import once
 
 BROADCAST_BYTES = 64 << 20
 #: Bytes of the samples of a block beyond that.
 BLOCK_BYTES = 4 << 20
-#: Rows that are compared at once.
-ROWS = 256
-#: Distances from here on, and NaN, are no neighbours.
-LARGEST = 1.7976931348623157e308
+#: Rows that are compared at once; and that ask a tree at once.
+ROWS, ASKING = 256, 2048
+#: Pivots of the cells at most; members of a cell's part; samples that ask a part in one task.
+PIVOTS, PART, ASKS = 512, 20_000, 200_000
 
 _PAIRS = "i long, j long, d double"
 _NEAR = "i long, rk int, j long, d double"
@@ -58,12 +65,10 @@ def _weight(points: DataFrame) -> tuple[int, int]:
     return n, size + 64 * n
 
 
-def _compared(points: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], schema: str, whole: bool = False) -> DataFrame:
+def _compared(points: DataFrame, one: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, ...]], schema: str) -> DataFrame:
     """`one` of (ids, samples, all other ids, all other samples) for all rows: of all others at once where they can be
-    broadcast, else of block after block.  ids ascend.  whole: `one` needs all others at once."""
+    broadcast, else of block after block.  ids ascend."""
     n, size = _weight(points)
-    if whole and size > BROADCAST_BYTES:
-        raise ValueError(f"dense rows are for samples of {BROADCAST_BYTES} bytes at most; use neighbour rows beyond")
     names = [c.split()[0] for c in schema.split(", ")]
     if size <= BROADCAST_BYTES:
         table = points.toArrow().sort_by("id")
@@ -115,28 +120,124 @@ def mirrored(pairs: DataFrame) -> DataFrame:
 def knn(points: DataFrame, k: int, metric: str | Block = "euclidean") -> DataFrame:
     """(i, rk, j, d): the k nearest others of every sample, by distance and then id; rk from 1.  A sample is no
     neighbour of itself (by id, so copies are), nor is one at a NaN or infinite distance."""
-    block = block_of(metric)
-
-    def one(ids, values, others, all_values):
-        d = block(values, all_values)
-        d[(ids[:, None] == others[None, :]) | ~(d < LARGEST)] = np.inf
-        n = min(k, d.shape[1])
-        edge = np.partition(d, n - 1, axis=1)[:, n - 1]
-        out_i, out_r, out_j, out_d = [], [], [], []
-        for r in range(len(ids)):
-            near = np.flatnonzero((d[r] <= edge[r]) & (d[r] < np.inf))
-            near = near[np.argsort(d[r, near], kind="stable")[:k]]
-            out_i.append(np.full(len(near), ids[r]))
-            out_r.append(np.arange(1, len(near) + 1, dtype=np.int32))
-            out_j.append(others[near])
-            out_d.append(d[r, near])
-        return tuple(np.concatenate(x) for x in (out_i, out_r, out_j, out_d))
-
-    near = _compared(points, one, _NEAR)
-    if _weight(points)[1] <= BROADCAST_BYTES:
-        return near
+    block, prune = block_of(metric), is_metric(metric)
+    n, size = _weight(points)
+    if size > BROADCAST_BYTES:
+        return _knn_by_cells(points, k, block, prune, n, size)
+    table = points.toArrow().sort_by("id")
+    held = points.sparkSession.sparkContext.broadcast(MetricTree(table.column("id").to_numpy(), stacked(table.column("v").to_pylist()), block, prune))
+
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ASKING):
+                b = batch.slice(at, ASKING)
+                got = held.value.nearest(b.column("id").to_numpy(), stacked(b.column("v").to_pylist()), k).rows()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], names=["i", "rk", "j", "d"])
+
+    return points.repartition(max(1, min(n // ROWS, 4 * points.sparkSession.sparkContext.defaultParallelism)), "id").mapInArrow(rows, _NEAR)
+
+
+def _knn_by_cells(points: DataFrame, k: int, block: Block, prune: bool, n: int, size: int) -> DataFrame:
+    spark = points.sparkSession
+    kind = points.schema["v"].dataType.simpleString()
+    wanted = min(PIVOTS, max(2, math.ceil(size / BLOCK_BYTES)))
+    sample = points.orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").toArrow()
+    pivots = spark.sparkContext.broadcast(stacked(sample.column("v").to_pylist()))
+
+    def place(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ASKING):
+                b = batch.slice(at, ASKING)
+                d = block(stacked(b.column("v").to_pylist()), pivots.value)
+                cell = np.argmin(np.where(np.isnan(d), np.inf, d), axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["id", "v", "cell", "r"])
+
+    placed = once(points.select("id", "v").mapInArrow(place, f"id long, v {kind}, cell int, r double"))
+    cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("r").alias("radius"))  # a row for each pivot at most
+    cells = cells.select("cell", "radius", F.ceil(F.col("n") / PART).cast("int").alias("parts")).toArrow()
+    numbers = [cells.column(c).to_numpy() for c in ("cell", "radius", "parts")]
+    parts = spark.createDataFrame(cells.select(["cell", "parts"]))
+    own = F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")
+    members = once(placed.join(F.broadcast(parts), "cell").select("id", "v", "cell", own))
+
+    def first(batches):
+        for (_, _), table in _runs(batches, ["cell", "part"]):
+            ids, values = table.column("id").to_numpy(), stacked(table.column("v").to_pylist())
+            tree = MetricTree(ids, values, block, prune)
+            for at in range(0, len(ids), ASKING):
+                found = tree.nearest(ids[at : at + ASKING], values[at : at + ASKING], k)
+                near = [found.j[r][found.d[r] < np.inf] for r in range(len(found.ids))], [x[x < np.inf] for x in found.d]
+                kinds = pa.list_(pa.int64()), pa.list_(pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(found.ids), pa.array(found.d[:, -1]), *(pa.array(x, t) for x, t in zip(near, kinds, strict=True))], names=["id", "reach", "j", "d"])
+
+    dealt = members.repartition("cell", "part").sortWithinPartitions("cell", "part", "id")
+    near = once(dealt.mapInArrow(first, "id long, reach double, j array<long>, d array<double>"))
+    bounded = members.join(near.select("id", "reach"), "id")
+
+    def ask(batches):
+        cell, radius, many = numbers
+        for batch in batches:
+            for at in range(0, batch.num_rows, ASKING):
+                b = batch.slice(at, ASKING)
+                d = block(stacked(b.column("v").to_pylist()), pivots.value)
+                mine, part, reach = (b.column(c).to_numpy() for c in ("cell", "part", "reach"))
+                to = d[:, cell]
+                with np.errstate(invalid="ignore"):
+                    room = SLACK * (np.abs(to) + np.abs(radius))
+                    off = (to - radius > reach[:, None] + room) | ((to - d[np.arange(len(d)), mine][:, None]) / 2 > reach[:, None] + room)
+                row, c = np.nonzero(~off if prune else np.ones_like(off))
+                n = many[c]
+                row, c, p = np.repeat(row, n), np.repeat(c, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                other = (cell[c] != mine[row]) | (p != part[row])
+                row, c, p = row[other], c[other], p[other]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), b.column("v").take(pa.array(row)), pa.array(cell[c]), pa.array(p.astype(np.int32)), pa.array(reach[row])], names=["id", "v", "cell", "part", "reach"])
+
+    asked = bounded.mapInArrow(ask, f"id long, v {kind}, cell int, part int, reach double")
+    # a row for each part: in how many tasks it is asked
+    splits = asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("tasks"))
+    held = members.join(F.broadcast(splits), ["cell", "part"]).select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), "id", "v", F.lit(-1.0).alias("reach"))
+    asked = asked.join(F.broadcast(splits), ["cell", "part"]).select("cell", "part", F.pmod(F.xxhash64("id"), "tasks").cast("int").alias("task"), "id", "v", "reach")
+    both = held.unionByName(asked).repartition("cell", "part", "task").sortWithinPartitions("cell", "part", "task", F.col("reach") >= 0)
+
+    def second(batches):
+        for (_, _, _, asks), table in _runs(batches, ["cell", "part", "task"], "reach"):
+            ids, values = table.column("id").to_numpy(), stacked(table.column("v").to_pylist())
+            if not asks:
+                tree = MetricTree(ids, values, block, prune)
+                continue
+            for at in range(0, len(ids), ASKING):
+                got = tree.nearest(ids[at : at + ASKING], values[at : at + ASKING], k, table.column("reach").to_numpy()[at : at + ASKING]).rows()
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (got[0], got[2], got[3])], names=["i", "j", "d"])
+
+    more = both.mapInArrow(second, "i long, j long, d double")
+    own_ = near.select(F.col("id").alias("i"), F.explode(F.arrays_zip("j", "d")).alias("x")).select("i", "x.j", "x.d")
     order = W.partitionBy("i").orderBy("d", "j")
-    return near.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    return own_.unionByName(more).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k).select("i", "rk", "j", "d")
+
+
+def _runs(batches, keys: list[str], asks: str | None = None):
+    """(key, rows) of runs of rows with equal keys.  Without `asks` whole runs.  With it, the key also says whether the
+    column is not negative; runs where it is are whole, of the others each batch gives its own part."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        columns = [b.column(c).to_numpy() for c in keys] + ([b.column(asks).to_numpy() >= 0] if asks else [])
+        new = np.zeros(max(0, b.num_rows - 1), dtype=bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        cut = np.r_[0, np.flatnonzero(new) + 1, b.num_rows]
+        for x, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            key = tuple(c[x].item() for c in columns)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            last = key
+            if asks and key[-1]:
+                yield key, pa.Table.from_batches([b.slice(x, z - x)])
+            else:
+                held.append(b.slice(x, z - x))
+    if held:
+        yield last, pa.Table.from_batches(held).combine_chunks()
 
 
 def knn_mutual(near: DataFrame) -> DataFrame:

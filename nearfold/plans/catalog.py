@@ -13,11 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.operators import affinity, cells, layout, neighbors, quality
-from nearfold.plans.tsne import TSNE
-from nearfold.sources.csv_files import load_csv
+from nearfold.plans.tsne import TSNE, _joined
+from nearfold.sources.csv_files import load_csv, write_csv
+from nearfold.sources.folders import once, shared_folder
 
 PERPLEXITY, K = 20.0, 60
-THETA, DEPTH = 0.5, 5
+THETA, DEPTH = 0.5, cells.default_depth(2)
+#: Epochs of the queries that SQL follows step by step.
+EPOCHS = 3
 RATE, MOMENTUM = 200.0, 0.5
 #: Schedule of the whole fits: vectors without clusters shrink while P is exaggerated, so that phase is kept short.
 FIT = {"epochs": 300, "stop_lying_epoch": 20, "momentum_switch_epoch": 20}
@@ -135,7 +138,7 @@ def bh_cells(spark, d):
 
 
 def _away(spark, d):
-    return cells.repulsion(_positions(spark, d), THETA, DEPTH)
+    return cells.repulsion(_positions(spark, d), THETA)
 
 
 def bh_repulsion(spark, d):
@@ -204,22 +207,36 @@ def tsne_bh(spark, d):
     return TSNE(**FIT).barnes_hut(spark.read.parquet(f"{d}/embeddings.parquet"), THETA, id_col="vec_id", sample_col="embedding").embedding()
 
 
-def csv_roundtrip(spark, d):
-    """The first eight components and the label written as CSV to the folder all executors share, read again without
-    the label."""
-    from nearfold.sources.folders import shared_folder
+def _epochs(spark, d, p, theta):
+    """The first epochs of a fit from fixed positions, P exaggerated in the first two of them."""
+    settings = TSNE(epochs=EPOCHS, stop_lying_epoch=1, momentum_switch_epoch=1).settings
+    y = _joined(once(affinity.normalized(p, 1.0)), _points(spark, d).select("id"), settings, theta, layout.fresh(_positions(spark, d)))
+    return y.select("id", _r(F.col("y0") * 1e4).alias("y0_e4"), _r(F.col("y1") * 1e4).alias("y1_e4"))
+
+
+def exact_epochs(spark, d):
+    return _epochs(spark, d, _dense(spark, d), None)
 
-    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    rows = _points(spark, d).select("id", *(F.col("v")[k].alias(f"c{k}") for k in range(8)), F.lit("a, \"quoted\" label").alias("label"))
-    rows.write.csv(path, header=True, escape='"')
-    back = load_csv(spark, path, True, skip=[9])
-    return back.select(F.col("v")[0].cast("long").alias("id"), *(_r(F.col("v")[k + 1]).alias(f"c{k}") for k in range(8)))
+
+def bh_epochs(spark, d):
+    return _epochs(spark, d, _sparse(spark, d), THETA)
+
+
+def csv_roundtrip(spark, d):
+    """All components of every vector written as CSV to the folder all executors share, in the order of ids, and read
+    again."""
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}.csv"
+    points = _points(spark, d)
+    width = points.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    write_csv(points.select("id", *(F.col("v")[k].alias(f"y{k}") for k in range(width))), path)
+    back = load_csv(spark, path, False)
+    return back.select("id", *(_r(F.col("v")[k]).alias(f"c{k}") for k in range(width)))
 
 
 _ALL = (
     src_vectors, pairwise_distance, pairwise_full, knn, knn_mutual, knn_oneway, beta_search, row_entropy, p_conditional, p_symmetric, p_degree, p_row_offsets, p_normalized, p_exact_joint,
     q_exact, exact_gradient, attractive_forces, bh_root_cell, bh_cells, bh_repulsion, bh_gradient, update_step, zero_mean, exaggeration_schedule, exact_step, bh_step, kl_exact, kl_sparse,
-    tsne_exact, tsne_bh, csv_roundtrip,
+    exact_epochs, bh_epochs, tsne_exact, tsne_bh, csv_roundtrip,
 )
 
 
@@ -233,8 +250,8 @@ _EPS, _MIN = "2.220446049250313e-16", "2.2250738585072014e-308"
 _CTE = {
     "v": "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings)",
     "y": "y AS (SELECT id, e[1] * 1e-4 AS y0, e[2] * 1e-4 AS y1 FROM v)",
-    "dist": "dist AS (SELECT a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a JOIN v b ON a.id <> b.id)",
-    "knn": f"knn AS (SELECT i, j, d, rk FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM dist) WHERE rk <= {K})",
+    "dist": "dist AS MATERIALIZED (SELECT a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a JOIN v b ON a.id <> b.id)",
+    "knn": f"knn AS MATERIALIZED (SELECT i, j, d, rk FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM dist) WHERE rk <= {K})",
     "nb": "nb AS (SELECT i, list(d * d ORDER BY d, j) AS ds FROM knn GROUP BY i)",
     "nbx": "nbx AS (SELECT i, list(d * d ORDER BY j) AS ds FROM (SELECT i, j, d FROM dist UNION ALL SELECT id, id, 0.0 FROM v) GROUP BY i)",
     "psym": "psym AS (SELECT i, j, sum(p) AS p FROM (SELECT i, j, p / 2 AS p FROM cond UNION ALL SELECT j, i, p / 2 FROM cond) GROUP BY i, j)",
@@ -244,17 +261,52 @@ _CTE = {
     "qq": "qq AS (SELECT a.id AS i, b.id AS j, a.y0 - b.y0 AS d0, a.y1 - b.y1 AS d1, 1 / (1 + (a.y0 - b.y0) * (a.y0 - b.y0) + (a.y1 - b.y1) * (a.y1 - b.y1)) AS q FROM y a, y b)",
     "gex": "gex AS (SELECT i AS id, sum((p - q / (SELECT sum(q) FROM qq)) * q * d0) AS g0, sum((p - q / (SELECT sum(q) FROM qq)) * q * d1) AS g1 FROM pexn JOIN qq USING (i, j) GROUP BY i)",
     "att": "att AS (SELECT i AS id, sum(p * q * d0) AS f0, sum(p * q * d1) AS f1 FROM pnorm JOIN qq USING (i, j) GROUP BY i)",
-    "root": f"root AS (SELECT avg(y0) AS c0, greatest(max(y0) - avg(y0), avg(y0) - min(y0)) + {_MIN} AS w0, avg(y1) AS c1, greatest(max(y1) - avg(y1), avg(y1) - min(y1)) + {_MIN} AS w1 FROM y)",
-    "placed": f"placed AS (SELECT id, y0, y1, lv::INT AS level, greatest(w0, w1) AS w, least(greatest(floor((y0 - (c0 - w0)) * pow(2, lv) / (2 * w0)), 0), pow(2, lv) - 1)::BIGINT AS k0, least(greatest(floor((y1 - (c1 - w1)) * pow(2, lv) / (2 * w1)), 0), pow(2, lv) - 1)::BIGINT AS k1 FROM y, root, range(0, {DEPTH + 1}) r(lv))",
-    "cells": f"cells AS (SELECT level, k0, k1, count(*) AS n, avg(y0) AS m0, avg(y1) AS m1, any_value(w) / pow(2, level) AS w, ((min(y0) = max(y0) AND min(y1) = max(y1)) OR level = {DEPTH}) AS leaf FROM placed GROUP BY level, k0, k1)",
-    "walk": f"""walk AS (
-        SELECT y.id, y.y0, y.y1, c.level, c.k0, c.k1, c.n, c.m0, c.m1, c.leaf, (c.leaf OR c.w < {THETA} * sqrt((y.y0 - c.m0) * (y.y0 - c.m0) + (y.y1 - c.m1) * (y.y1 - c.m1))) AS take FROM y JOIN cells c ON c.level = 0
-        UNION ALL
-        SELECT f.id, f.y0, f.y1, c.level, c.k0, c.k1, c.n, c.m0, c.m1, c.leaf, (c.leaf OR c.w < {THETA} * sqrt((f.y0 - c.m0) * (f.y0 - c.m0) + (f.y1 - c.m1) * (f.y1 - c.m1))) FROM walk f JOIN cells c ON c.level = f.level + 1 AND c.k0 // 2 = f.k0 AND c.k1 // 2 = f.k1 WHERE NOT f.take)""",
-    "taken": "taken AS (SELECT w.id, w.y0 - w.m0 AS d0, w.y1 - w.m1 AS d1, w.n - CASE WHEN w.leaf AND p.id IS NOT NULL THEN 1 ELSE 0 END AS n, 1 / (1 + (w.y0 - w.m0) * (w.y0 - w.m0) + (w.y1 - w.m1) * (w.y1 - w.m1)) AS q FROM walk w LEFT JOIN placed p ON p.id = w.id AND p.level = w.level AND p.k0 = w.k0 AND p.k1 = w.k1 WHERE w.take)",
-    "rep": "rep AS (SELECT id, sum(n * q * q * d0) AS r0, sum(n * q * q * d1) AS r1, sum(n * q) AS q FROM taken GROUP BY id)",
     "gbh": "gbh AS (SELECT id, f0 - r0 / (SELECT sum(q) FROM rep) AS g0, f1 - r1 / (SELECT sum(q) FROM rep) AS g1 FROM att JOIN rep USING (id))",
 }
+#: Levels that tell all positions of the tables apart.
+DEEP = 40
+
+
+def _tree(y: str, n: str, depth: int) -> list[str]:
+    """root, placed, cells, walk, taken and rep of the positions `y`, all with the ending `n`."""
+    return [
+        f"root{n} AS MATERIALIZED (SELECT avg(y0) AS c0, greatest(max(y0) - avg(y0), avg(y0) - min(y0)) + {_MIN} AS w0, avg(y1) AS c1, greatest(max(y1) - avg(y1), avg(y1) - min(y1)) + {_MIN} AS w1 FROM {y})",
+        f"placed{n} AS MATERIALIZED (SELECT id, y0, y1, lv::INT AS level, greatest(w0, w1) AS w, least(greatest(floor((y0 - (c0 - w0)) * pow(2, lv) / (2 * w0)), 0), pow(2, lv) - 1)::BIGINT AS k0, least(greatest(floor((y1 - (c1 - w1)) * pow(2, lv) / (2 * w1)), 0), pow(2, lv) - 1)::BIGINT AS k1 FROM {y}, root{n}, range(0, {depth + 1}) r(lv))",
+        f"cells{n} AS MATERIALIZED (SELECT level, k0, k1, count(*) AS n, avg(y0) AS m0, avg(y1) AS m1, any_value(w) / pow(2, level) AS w, (min(y0) = max(y0) AND min(y1) = max(y1)) AS leaf FROM placed{n} GROUP BY level, k0, k1)",
+        f"""walk{n} AS (
+        SELECT y.id, y.y0, y.y1, c.level, c.k0, c.k1, c.n, c.m0, c.m1, c.leaf, (c.leaf OR c.w < {THETA} * sqrt((y.y0 - c.m0) * (y.y0 - c.m0) + (y.y1 - c.m1) * (y.y1 - c.m1))) AS take FROM {y} y JOIN cells{n} c ON c.level = 0
+        UNION ALL
+        SELECT f.id, f.y0, f.y1, c.level, c.k0, c.k1, c.n, c.m0, c.m1, c.leaf, (c.leaf OR c.w < {THETA} * sqrt((f.y0 - c.m0) * (f.y0 - c.m0) + (f.y1 - c.m1) * (f.y1 - c.m1))) FROM walk{n} f JOIN cells{n} c ON c.level = f.level + 1 AND c.k0 // 2 = f.k0 AND c.k1 // 2 = f.k1 WHERE NOT f.take)""",
+        f"taken{n} AS (SELECT w.id, w.y0 - w.m0 AS d0, w.y1 - w.m1 AS d1, w.n - CASE WHEN w.leaf AND p.id IS NOT NULL THEN 1 ELSE 0 END AS n, 1 / (1 + (w.y0 - w.m0) * (w.y0 - w.m0) + (w.y1 - w.m1) * (w.y1 - w.m1)) AS q FROM walk{n} w LEFT JOIN placed{n} p ON p.id = w.id AND p.level = w.level AND p.k0 = w.k0 AND p.k1 = w.k1 WHERE w.take)",
+        f"rep{n} AS MATERIALIZED (SELECT id, sum(n * q * q * d0) AS r0, sum(n * q * q * d1) AS r1, sum(n * q) AS q FROM taken{n} GROUP BY id)",
+    ]
+
+
+_CTE["root"], _CTE["placed"], _CTE["cells"] = _tree("y", "", DEPTH)[:3]
+_CTE["rep"] = ",\n".join(_tree("y", "", DEEP))
+_CTE["s0"] = "s0 AS (SELECT id, y0, y1, 0.0::DOUBLE AS u0, 0.0::DOUBLE AS u1, 1.0::DOUBLE AS a0, 1.0::DOUBLE AS a1 FROM y)"
+
+
+def _epoch(k: int, p: str, tree: bool) -> list[str]:
+    """The state s{k + 1} from s{k}: forces, gains, velocities, positions less their mean."""
+    x, m = (12.0, 0.5) if k <= 1 else (1.0, 0.8)
+    edge = f"1 / (1 + (a.y0 - b.y0) * (a.y0 - b.y0) + (a.y1 - b.y1) * (a.y1 - b.y1))"
+    share = f"{x} * e.p / ((SELECT sum(p) FROM {p}) + {_EPS})"
+    out = [f"att{k} AS MATERIALIZED (SELECT e.i AS id, sum({share} * {edge} * (a.y0 - b.y0)) AS f0, sum({share} * {edge} * (a.y1 - b.y1)) AS f1 FROM {p} e JOIN s{k} a ON a.id = e.i JOIN s{k} b ON b.id = e.j GROUP BY e.i)"]
+    if tree:
+        out += _tree(f"s{k}", str(k), DEEP)
+    else:
+        out.append(f"rep{k} AS MATERIALIZED (SELECT a.id, sum({edge} * {edge} * (a.y0 - b.y0)) AS r0, sum({edge} * {edge} * (a.y1 - b.y1)) AS r1, sum({edge}) AS q FROM s{k} a, s{k} b GROUP BY a.id)")
+    out.append(f"g{k} AS (SELECT s.*, f0 - r0 / (SELECT sum(q) FROM rep{k}) AS g0, f1 - r1 / (SELECT sum(q) FROM rep{k}) AS g1 FROM s{k} s JOIN att{k} USING (id) JOIN rep{k} USING (id))")
+    gain = ", ".join(f"greatest(CASE WHEN (g{c} < 0) <> (u{c} < 0) THEN a{c} + 0.2 ELSE a{c} * 0.8 END, 0.01) AS n{c}" for c in range(2))
+    out.append(f"n{k} AS (SELECT *, {gain} FROM g{k})")
+    out.append(f"v{k} AS (SELECT id, y0, y1, n0, n1, {m} * u0 - {RATE} * n0 * g0 AS u0, {m} * u1 - {RATE} * n1 * g1 AS u1 FROM n{k})")
+    out.append(f"s{k + 1} AS MATERIALIZED (SELECT id, y0 + u0 - avg(y0 + u0) OVER () AS y0, y1 + u1 - avg(y1 + u1) OVER () AS y1, u0, u1, n0 AS a0, n1 AS a1 FROM v{k})")
+    return out
+
+
+for _name, _p, _is_tree in (("epochsx", "pex", False), ("epochs", "psym", True)):
+    _CTE[_name] = ",\n".join(c for k in range(EPOCHS) for c in _epoch(k, _p, _is_tree))
 
 
 def _search(rows: str, name: str) -> str:
@@ -277,7 +329,7 @@ _CTE["betax"] = _search("nbx", "searchx")
 _CTE["condx"] = f"condx AS (SELECT i, j, exp(-used * d * d) / (s + {_EPS}) AS p FROM (SELECT i, j, d FROM dist UNION ALL SELECT id, id, 0.0 FROM v) JOIN searchx_last USING (i))"
 _NEAR, _SPARSE = ["v", "dist", "knn"], ["v", "dist", "knn", "nb", "beta", "cond", "psym"]
 _DENSE = ["v", "dist", "nbx", "betax", "condx", "pex"]
-_TREE = ["root", "placed", "cells", "walk", "taken", "rep"]
+_TREE = ["root", "placed", "cells"]
 
 
 def _sql(ctes: list[str], select: str) -> str:
@@ -318,15 +370,17 @@ def oracle_sql() -> dict[str, str]:
         "exact_gradient": _sql([*_DENSE, "pexn", "y", "qq", "gex"], f"SELECT id, {_round('g0 * 1e8', 4)} AS g0_e8, {_round('g1 * 1e8', 4)} AS g1_e8 FROM gex"),
         "attractive_forces": _sql([*_SPARSE, "pnorm", "y", "qq", "att"], f"SELECT id, {_round('f0 * 1e8', 4)} AS f0_e8, {_round('f1 * 1e8', 4)} AS f1_e8 FROM att"),
         "bh_root_cell": _sql(["v", "y", "root"], "SELECT " + ", ".join(f"{_round(f'{c} * 1e6')} AS {c}_e6" for c in ("c0", "w0", "c1", "w1")) + " FROM root"),
-        "bh_cells": _sql(["v", "y", *_TREE[:3]], "SELECT level, k0, k1, n, " + ", ".join(f"{_round(f'{c} * 1e6')} AS {c}_e6" for c in ("m0", "m1", "w")) + ", leaf FROM cells"),
-        "bh_repulsion": _sql(["v", "y", *_TREE], f"SELECT id, {_round('r0 * 1e4', 4)} AS r0_e4, {_round('r1 * 1e4', 4)} AS r1_e4, {_round('q', 4)} AS q FROM rep"),
-        "bh_gradient": _sql([*_SPARSE, "pnorm", "y", "qq", "att", *_TREE, "gbh"], f"SELECT id, {_round('g0 * 1e8', 4)} AS g0_e8, {_round('g1 * 1e8', 4)} AS g1_e8 FROM gbh"),
+        "bh_cells": _sql(["v", "y", *_TREE], "SELECT level, k0, k1, n, " + ", ".join(f"{_round(f'{c} * 1e6')} AS {c}_e6" for c in ("m0", "m1", "w")) + ", leaf FROM cells"),
+        "bh_repulsion": _sql(["v", "y", "rep"], f"SELECT id, {_round('r0 * 1e4', 4)} AS r0_e4, {_round('r1 * 1e4', 4)} AS r1_e4, {_round('q', 4)} AS q FROM rep"),
+        "bh_gradient": _sql([*_SPARSE, "pnorm", "y", "qq", "att", "rep", "gbh"], f"SELECT id, {_round('g0 * 1e8', 4)} AS g0_e8, {_round('g1 * 1e8', 4)} AS g1_e8 FROM gbh"),
         "update_step": _sql(["v"], f"SELECT id, {_round(f'e[1] + {u0}')} AS y0, {_round(f'e[2] + {u1}')} AS y1, {_round(u0)} AS u0, {_round(u1)} AS u1, {_round(g0)} AS gain0, {_round(g1)} AS gain1 FROM v"),
         "zero_mean": _sql(["v", "y"], f"SELECT id, {_round('(y0 - avg(y0) OVER ()) * 1e4')} AS y0_e4, {_round('(y1 - avg(y1) OVER ()) * 1e4')} AS y1_e4 FROM y"),
         "exaggeration_schedule": "SELECT e::INT AS epoch, CASE WHEN e <= 250 THEN 12.0 ELSE 1.0 END::DOUBLE AS exaggeration, CASE WHEN e <= 250 THEN 0.5 ELSE 0.8 END::DOUBLE AS momentum FROM range(0, 300) t(e)",
         "exact_step": _sql([*_DENSE, "pexn", "y", "qq", "gex"], _one_step("gex")),
-        "bh_step": _sql([*_SPARSE, "pnorm", "y", "qq", "att", *_TREE, "gbh"], _one_step("gbh")),
+        "bh_step": _sql([*_SPARSE, "pnorm", "y", "qq", "att", "rep", "gbh"], _one_step("gbh")),
         "kl_exact": _sql([*_DENSE, "y", "qq"], kl.format(m=_MIN, p="pex", total="(SELECT sum(q) FROM qq)")),
         "kl_sparse": _sql([*_SPARSE, "y", "qq"], kl.format(m=_MIN, p="psym", total="(SELECT sum(q) FROM qq WHERE i <> j)")),
-        "csv_roundtrip": _sql(["v"], "SELECT id, " + ", ".join(f"{_round(f'e[{k + 1}]')} AS c{k}" for k in range(8)) + " FROM v"),
+        "exact_epochs": _sql([*_DENSE, "y", "s0", "epochsx"], f"SELECT id, {_round('y0 * 1e4')} AS y0_e4, {_round('y1 * 1e4')} AS y1_e4 FROM s{EPOCHS}"),
+        "bh_epochs": _sql([*_SPARSE, "y", "s0", "epochs"], f"SELECT id, {_round('y0 * 1e4')} AS y0_e4, {_round('y1 * 1e4')} AS y1_e4 FROM s{EPOCHS}"),
+        "csv_roundtrip": _sql(["v"], "SELECT row_number() OVER (ORDER BY id) - 1 AS id, " + ", ".join(f"{_round(f'e[{k + 1}]')} AS c{k}" for k in range(64)) + " FROM v"),
     }

@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder (spark.checkpoint.dir); a temporary one where that is unset, as in tests."""
+    """The session's checkpoint folder (spark.checkpoint.dir); where that is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="nearfold-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="nearfold-"))
     return sc.getCheckpointDir()
+
+
+def once(df: DataFrame) -> DataFrame:
+    """`df` computed and written to the shared folder: what uses it several times, or in many rounds, reads it there."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
