@@ -1,7 +1,8 @@
 """License scans by a positional rare-token index, in SQL functions only; no shuffle but that of the word counts.
 
 Templates are short texts that go with a licence.  Their words and places are an index: for each template, postings
-(word, place, idf), where idf = ln((files + 1) / (files with the word + 1)) over all files.  An alignment is a place in
+(word, place, idf), where idf = 1 + ln((files + 1) / (files with the word + 1)) over
+all files: a word that every file has still counts for its place.  An alignment is a place in
 the file less a place in the template, and its share is the idf of all the template's postings that stand at their place
 in it, over the template's whole idf.  A template whose best share is AGREE or more counts if its key phrase stands in
 the file, word by word.  A template's anchors are its rarest postings, as many as carry more than 1 - AGREE of its idf:
@@ -61,7 +62,7 @@ def idf_of(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     own = F.array_intersect(words(F.col(text_col)), F.array(*map(F.lit, VOCABULARY)))
     seen = docs.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     have = {r.word: r.n for r in seen.collect()}
-    return {w: math.log((have.get("", 0) + 1) / (have.get(w, 0) + 1)) for w in VOCABULARY}
+    return {w: 1 + math.log((have.get("", 0) + 1) / (have.get(w, 0) + 1)) for w in VOCABULARY}
 
 
 def _places(phrase: str) -> str:
@@ -88,8 +89,6 @@ def _share(text: str, idf: dict[str, float]) -> str:
     """SQL: the largest share of the template's idf that agrees on one alignment, of those that can reach AGREE."""
     postings = [(w, k, idf[w]) for k, w in enumerate(text.split())]
     total = sum(v for _, _, v in postings)
-    if total <= 0:
-        return "0D"
     whole = "array(" + ", ".join(f"named_struct('w', '{w}', 'p', {k}, 'v', {v!r}D)" for w, k, v in postings) + ")"
     starts = "array_distinct(concat(" + ", ".join(f"transform(filter(sequence(0, size(w) - 1), q -> get(w, q) = '{x}'), q -> q - {k})" for x, k in anchors(text, idf)) + "))"
     agree = f"aggregate({whole}, 0D, (s, x) -> s + CASE WHEN get(w, a + x.p) = x.w THEN x.v ELSE 0D END)"

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from nearfold.llm import quality, toxicity
 from nearfold.llm.chain import fit_chain
+from nearfold.llm.texts import IntTable
+from nearfold.llm.wordarrays import Hasher
 
 
 def area(score, y):
@@ -116,3 +118,19 @@ def test_a_neutral_mention_is_screened_in():
     place, first = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
     got = set(toxicity.telling(place, first, np.array(y)).tolist())
     assert {1, 2, 3, 4} <= got and len(got) < 12
+
+
+def test_the_logit_is_a_sum_over_all_pairs():
+    """Of any texts, repeated words and none, place by place and pair by pair."""
+    rng = np.random.default_rng(5)
+    texts = ["you are a vile clown", "", "clown clown", "a kind neighbour and a vile winter", "unknown words only", "neighbour " * 50 + "vile"]
+    hasher = Hasher()
+    place = np.unique(toxicity.terms(["you are a vile clown and a kind neighbour"], hasher)[0])
+    m = toxicity.FactorMachine(IntTable(place, np.arange(len(place), dtype=np.int32)), rng.normal(size=len(place)), rng.normal(size=(len(place), toxicity.FACTORS)), 0.3)
+    rows, first = toxicity.terms(texts, hasher, m.rows)
+    got = m.logits(rows, first)
+    all_places, bounds = toxicity.terms(texts, hasher)
+    for k in range(len(texts)):
+        own = [int(np.searchsorted(place, p)) for p in all_places[bounds[k] : bounds[k + 1]] if p in place]
+        want = 0.3 + sum(m.weights[i] for i in own) + sum(float(m.factors[i] @ m.factors[j]) for n, i in enumerate(own) for j in own[:n])
+        assert np.isclose(got[k], want) and np.isclose(m.score(texts, hasher)[k], 1 / (1 + np.exp(-np.clip(want, -40, 40))))

@@ -77,6 +77,14 @@ def test_licenses_of_bundles(spark):
     assert [set(got[k].labels.split(",")) for k in (1, 3)] == [{"bsd", "isc"}, {"isc", "unlicense"}]
 
 
+def test_licenses_of_one_file(spark):
+    """Words that every file has tell as much as their places do."""
+    df = spark.createDataFrame([(1, LICENSED[5][1])], "doc_id long, text string")
+    assert [(r.labels, r.score) for r in licenses.scan_licenses(df).collect()] == [("mit", 1.0)]
+    many = spark.createDataFrame([(k, LICENSED[5][1]) for k in range(5)], "doc_id long, text string")
+    assert {r.labels for r in licenses.scan_licenses(many).collect()} == {"mit"}
+
+
 def test_licenses_stay_in_the_jvm(odd):
     plan = licenses.scan_licenses(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
