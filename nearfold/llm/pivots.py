@@ -4,9 +4,12 @@ A bounded sample of the vectors serves as pivots.  Every vector is described by
 cosine; inverted lists name the vectors that have a pivot among theirs.  Two vectors are candidates if they share
 SHARED pivots or more; candidates are compared by cosine in double precision.
 
+Lists go by one pivot while that keeps them short on average; beyond some LISTED vectors a list, they go by two pivots,
+of which there are millions of combinations.  The candidates are the same: three shared pivots are shared pairs as well.
+
 Equal vectors are one class with a weight.  Lists of any size are compared in blocks (see blocks.py).  In a task the
 shared pivots of all its members are counted from the members' own descriptions, a pair is taken up only in the list of
-its smallest shared pivot, and what leaves the task is a row for each linked member: how many vectors it is linked with,
+its smallest shared pivot (or its two smallest), and what leaves the task is a row for each linked member: how many vectors it is linked with,
 and the smallest member of its part of the task's link graph.  Pairs never leave it.
 
 Recall at a cosine of 0.9, the hardest links, is measured against brute force in the tests; pairs of higher cosine share
@@ -37,6 +40,9 @@ NEAREST, SHARED = 12, 3
 #: Pivots: about one for PER_PIVOT vectors, within these bounds; the largest bounds the sample and its broadcast.
 PER_PIVOT, PIVOTS = 64, (64, 8192)
 BLOCK = 1024
+#: Vectors of a list on average, beyond which lists go by two pivots.
+LISTED = 4096
+_TWO = 1 << 16
 
 
 def _vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -97,9 +103,11 @@ def _describe(classes: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
     return classes.mapInArrow(run, schema)
 
 
-def links(vectors: np.ndarray, size: np.ndarray, own: np.ndarray, pivot: int, side: np.ndarray) -> np.ndarray:
-    """The links (members x members, symmetric) that the list of `pivot` answers for: candidates by shared pivots, none
-    of them smaller than this one, verified by cosine.  side: block of each member; of two blocks, only pairs across."""
+def links(vectors: np.ndarray, size: np.ndarray, own: np.ndarray, pivot: int, side: np.ndarray, other: int = -1) -> np.ndarray:
+    """The links (members x members, symmetric) that the list of `pivot`, or of it and a larger `other`, answers for:
+    candidates by shared pivots, none of which comes before these, verified by cosine.  side: block of each member; of
+    two blocks, only pairs across."""
+    past = max(pivot, other)
     n, k = own.shape
     shared, earlier = np.zeros((n, n), dtype=np.uint8), np.zeros((n, n), dtype=bool)
     order = np.argsort(own.ravel(), kind="stable")
@@ -109,7 +117,7 @@ def links(vectors: np.ndarray, size: np.ndarray, own: np.ndarray, pivot: int, si
         if b - a > 1:
             at = np.ix_(member[a:b], member[a:b])
             shared[at] += 1
-            if values[a] < pivot:
+            if values[a] < past and values[a] != pivot:
                 earlier[at] = True
     taken = (shared >= min(SHARED, k)) & ~earlier & (size[:, None] == size[None, :])
     taken &= (side[:, None] != side[None, :]) if (side != side[0]).any() else ~np.eye(n, dtype=bool)
@@ -142,7 +150,8 @@ def _compare(width: int, kind: str):
                 if y - x < 2 or (lo[x] != hi[x] and (side == side[0]).all()):
                     continue
                 own = np.frombuffer(b"".join(cols["nearest"][x:y]), dtype=np.int16).reshape(y - x, -1)
-                linked = links(_matrix(cols["v"][x:y], width, kind), size[x:y], own, int(pivot[x]), side)
+                one, other = divmod(int(pivot[x]), _TWO)
+                linked = links(_matrix(cols["v"][x:y], width, kind), size[x:y], own, one, side, other - 1)
                 hit = np.flatnonzero(linked.any(axis=1))
                 if len(hit):
                     small = linked[np.ix_(hit, hit)]
@@ -167,10 +176,16 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(wanted).select("v").collect()
     pivots = _matrix([r.v for r in sample], width, kind) if n else np.zeros((1, 1))
     described = _describe(classes, pivots, kind)
-    member = described.select("id", "weight", "size", "v", "nearest", F.explode("pivots").alias("pivot"))
-    lists = described.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.count("*").alias("listed")).where("listed > 1")
-    # at most PIVOTS[1] rows
-    member = member.join(F.broadcast(lists), "pivot")
+    # the key of a list: the first pivot * _TWO, and the second pivot + 1 where there is one
+    key = lambda a, b=None: a.cast("long") * _TWO + (0 if b is None else b.cast("long") + 1)
+    if NEAREST * n > LISTED * len(pivots):
+        keys = F.flatten(F.transform("pivots", lambda a: F.transform(F.filter("pivots", lambda b: b > a), lambda b: key(a, b))))
+    else:
+        keys = F.transform("pivots", lambda a: key(a))
+    member = described.select("id", "weight", "size", "v", "nearest", F.explode(keys).alias("pivot"))
+    lists = described.select(F.explode(keys).alias("pivot")).groupBy("pivot").agg(F.count("*").alias("listed")).where("listed > 1")
+    # lists by one pivot are PIVOTS[1] at most; those by two are joined by a shuffle
+    member = member.join(F.broadcast(lists) if NEAREST * n <= LISTED * len(pivots) else lists, "pivot")
     blocks = F.ceil(F.col("listed") / F.lit(BLOCK)).cast("int")
     member = member.withColumn("block", F.pmod(F.xxhash64("id", "pivot"), blocks).cast("int"))
     tasks = dealt(meet(member, "pivot", "listed", "id", BLOCK).drop("listed"), "pivot")

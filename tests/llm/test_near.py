@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from nearfold.llm import blocks, minhash, pivots
 from nearfold.llm.components import components
@@ -123,8 +124,11 @@ def test_signature_agreement_estimates_similarity():
     assert abs((s[0] == s[1]).mean() - 800 / 1000) < 0.15
 
 
-def test_pivots_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("listed", [4096, 0])
+def test_pivots_against_brute_force(spark, monkeypatch, listed):
+    """With lists by one pivot, and by two."""
     monkeypatch.setattr(pivots, "BLOCK", 64)
+    monkeypatch.setattr(pivots, "LISTED", listed)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(700, 24))
     z = x[:150] / np.linalg.norm(x[:150], axis=1)[:, None]
