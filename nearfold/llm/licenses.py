@@ -4,8 +4,8 @@ Templates are short texts that go with a licence.  Their words and places are an
 (word, place, idf), where idf = 1 + ln((files + 1) / (files with the word + 1)) over
 all files: a word that every file has still counts for its place.  An alignment is a place in
 the file less a place in the template, and its share is the idf of all the template's postings that stand at their place
-in it, over the template's whole idf.  A template whose best share is AGREE or more counts if its key phrase stands in
-the file, word by word.  A template's anchors are its rarest postings, as many as carry more than 1 - AGREE of its idf:
+in it, over the template's whole idf.  A template whose best share is AGREE or more counts if all its key phrases stand
+in the file, word by word.  A template's anchors are its rarest postings, as many as carry more than 1 - AGREE of its idf:
 an alignment without any of them cannot reach AGREE, so the places of the anchors give all the alignments that can.
 
 Beside that the base phrases are counted everywhere: places where their words stand consecutively.
@@ -29,23 +29,94 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: (label, words that go with the licence, key phrase that must stand in the file)
+#: (label, words that go with the licence, key phrases that must all stand in the file): notices and first sentences.
 TEMPLATES = [
-    ("agpl", "gnu affero general public license as published by the free software foundation", "affero general public license"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license", "except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("cc-by", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee is hereby granted"),
-    ("lgpl", "gnu lesser general public license as published by the free software foundation", "lesser general public license"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
+    ("agpl", "gnu affero general public license as published by the free software foundation", ("affero general public license",)),
+    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    ("apache-2.0", "you may not use this file except in compliance with the license", ("except in compliance with the license",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
+    ("cc-by", "licensed under cc by 4 0", ("cc by 4 0",)),
+    ("cc-by-nc", "licensed under cc by nc 4 0", ("cc by nc",)),
+    ("cc-by-sa", "licensed under cc by sa 4 0", ("cc by sa",)),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", ("general public license version 2",)),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", ("general public license version 3",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
+    ("lgpl", "gnu lesser general public license as published by the free software foundation", ("lesser general public license",)),
+    ("mit", "released under the mit license", ("mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy", ("permission is hereby granted free of charge", "to any person obtaining a copy")),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
+]
+#: The same for whole paragraphs, of licences that only several phrases together tell from their relatives.
+TEMPLATES += [
+    (
+        "apache-2.0",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+        "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        ("apache license version 2 0", "unless required by applicable law or agreed to in writing", "without warranties or conditions of any kind"),
+    ),
+    (
+        "boost-1.0",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use "
+        "reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        ("any person or organization obtaining a copy of the software", "reproduce display distribute execute and transmit the software"),
+    ),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain "
+        "the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the "
+        "following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission",
+        ("redistributions in binary form must reproduce the above copyright notice", "may be used to endorse or promote products derived from this software"),
+    ),
+    (
+        "cc0-1.0",
+        "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+        ("to the extent possible under law", "copyright and related and neighboring rights"),
+    ),
+    (
+        "gpl-2.0-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 2 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "either version 2 of the license or at your option any later version"),
+    ),
+    (
+        "gpl-3.0-or-later",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation", "either version 3 of the license or at your option any later version"),
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice "
+        "appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+        ("with or without fee is hereby granted", "the author disclaims all warranties with regard to this software"),
+    ),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        ("permission is hereby granted free of charge", "to deal in the software without restriction", "shall be included in all copies or substantial portions of the software"),
+    ),
+    (
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
+        ("mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file"),
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as "
+        "a compiled binary for any purpose commercial or non commercial and by any means",
+        ("unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is "
+        "granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        ("in no event will the authors be held liable for any damages", "to alter it and redistribute it freely"),
+    ),
 ]
 #: The share of a template's idf that must agree.
 AGREE = 0.6
@@ -100,9 +171,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     idf = idf_of(docs, text_col)
     df = docs.select(F.col(id_col), words(F.col(text_col)).alias("w")).withColumn("line", F.expr("concat(' ', array_join(w, ' '), ' ')"))
     base = [f"{_places(p)} AS b{k}" for k, p in enumerate(BASE)]
-    keys = [f"line LIKE '% {key} %' AS k{k}" for k, (_, _, key) in enumerate(TEMPLATES)]
+    keys = [" AND ".join(f"line LIKE '% {key} %'" for key in phrases) + f" AS k{k}" for k, (_, _, phrases) in enumerate(TEMPLATES)]
     df = df.selectExpr(id_col, "w", *base, *keys)
-    # without the key phrase a template does not count, whatever its share
+    # without all its key phrases a template does not count, whatever its share
     shares = [f"CASE WHEN k{k} THEN {_share(text, idf)} ELSE 0D END AS s{k}" for k, (_, text, _) in enumerate(TEMPLATES)]
     df = df.selectExpr("*", *shares)
     places = f"concat({', '.join(f'b{k}' for k in range(len(BASE)))})"
