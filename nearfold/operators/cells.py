@@ -28,6 +28,8 @@ from nearfold.sources.folders import once
 CELLS = 1 << 20
 #: Levels of a tree at most.
 LEVELS = 50
+#: Targets that walk a tree together: so many that what they look at stays in the processor's cache.
+TARGETS = 4096
 #: Targets that ask one cell in one task.
 ASKS = 50_000
 
@@ -178,31 +180,39 @@ class CellTree:
     def walk(self, y: np.ndarray, theta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The sums, and the targets and cells where more than the tree holds is needed."""
         force, total = np.zeros_like(y), np.zeros(len(y))
-        point, cell = np.arange(len(y)), np.zeros(len(y), dtype=np.int64)
-        open_point, open_cell = [point[:0]], [cell[:0]]
-        while len(point):
-            diff = y[point] - self.mass[cell]
-            d2 = (diff * diff).sum(axis=1)
-            leaf = self.leaf[cell]
-            take = leaf | (self.width[cell] < theta * np.sqrt(d2))
-            p, c, near = point[take], cell[take], d2[take]
-            n = self.n[c] - (leaf[take] & (near <= self.width[c] ** 2))  # a leaf that holds the target
-            q = 1 / (1 + near)
-            w = n * q
-            total += np.bincount(p, weights=w, minlength=len(y))
-            w *= q
-            for k in range(y.shape[1]):
-                force[:, k] += np.bincount(p, weights=w * diff[take, k], minlength=len(y))
-            point, cell = point[~take], cell[~take]
-            below = self.cell[cell] >= 0
-            if below.any():
-                open_point.append(point[below])
-                open_cell.append(self.cell[cell[below]])
-                point, cell = point[~below], cell[~below]
-            many = self.children[cell]
-            nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            cell = np.repeat(self.first[cell], many) + nth
-            point = np.repeat(point, many)
+        masses = [np.ascontiguousarray(c) for c in self.mass.T]
+        open_point, open_cell = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        deeper = bool((self.cell >= 0).any())
+        for a in range(0, len(y), TARGETS):
+            own = [np.ascontiguousarray(c) for c in y[a : a + TARGETS].T]
+            size = len(own[0])
+            point, cell = np.arange(size), np.zeros(size, dtype=np.int64)
+            while len(point):
+                diff = [c.take(point) - m.take(cell) for c, m in zip(own, masses, strict=True)]
+                d2 = diff[0] * diff[0]
+                for d in diff[1:]:
+                    d2 += d * d
+                take = self.width.take(cell) < theta * np.sqrt(d2)
+                take |= self.leaf.take(cell)
+                at = np.flatnonzero(take)
+                p, c, near = point.take(at), cell.take(at), d2.take(at)
+                n = self.n.take(c) - (self.leaf.take(c) & (near <= self.width.take(c) ** 2))  # a leaf that holds the target
+                q = 1 / (1 + near)
+                w = n * q
+                total[a : a + size] += np.bincount(p, weights=w, minlength=size)
+                w *= q
+                for k, d in enumerate(diff):
+                    force[a : a + size, k] += np.bincount(p, weights=w * d.take(at), minlength=size)
+                at = np.flatnonzero(~take)
+                point, cell = point.take(at), cell.take(at)
+                if deeper and (below := self.cell.take(cell) >= 0).any():
+                    open_point.append(a + point[below])
+                    open_cell.append(self.cell[cell[below]])
+                    point, cell = point[~below], cell[~below]
+                many = self.children.take(cell)
+                past = np.cumsum(many)
+                cell = np.repeat(self.first.take(cell) - (past - many), many) + np.arange(past[-1] if len(past) else 0)
+                point = np.repeat(point, many)
         return force, total, np.concatenate(open_point), np.concatenate(open_cell)
 
 
