@@ -118,13 +118,19 @@ def telling(place: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndar
     cells[at[of[here]], doc[here]] = 1
     blocks = [slice(k, k + PAIR_BLOCK) for k in range(0, len(rest), PAIR_BLOCK)]
     truth = labels.astype(np.float32)
+    odds_of = np.exp(base + logit[rest]).astype(np.float32)
     for k, rows in enumerate(blocks):
         x = cells[rows].astype(np.float32)
         marked = x * truth
         for cols in blocks[k:]:
             y = cells[cols].astype(np.float32).T
-            m = x @ y
-            hit = _beyond(m, marked @ y, base + logit[rest[rows], None] + logit[rest[cols]]) >= least
+            m, toxic = x @ y, marked @ y
+            # the statistic is 2 (toxic - m q)**2 / (m q (1 - q)) at most; only where that may reach `least` it is computed
+            odds = odds_of[rows, None] * np.exp(-base).astype(np.float32) * odds_of[cols]
+            far = toxic * (1 + odds) - m * odds
+            hit = (m >= LEAST) & (2 * far * far >= 0.99 * least * m * odds)
+            a, b = np.nonzero(hit)
+            hit[a, b] = _beyond(m[a, b], toxic[a, b], base + logit[rest[rows][a]] + logit[rest[cols][b]]) >= least
             hit &= rest[rows, None] != rest[cols]
             passed[rest[rows][hit.any(axis=1)]] = True
             passed[rest[cols][hit.any(axis=0)]] = True
