@@ -187,6 +187,26 @@ def test_the_score_is_that_of_a_plain_loop():
     assert len(m.score([])) == 0
 
 
+def test_a_place_is_looked_up_once(monkeypatch):
+    """Though windows overlap by half, a text's inputs are not made anew for every window that it is in."""
+    m = attention.fit_model([np.arange(6)], 6, steps=1)
+    looked, rows = [], attention.AttentionModel._rows
+    monkeypatch.setattr(attention.AttentionModel, "_rows", lambda self, name, table, at: (looked.append(at.size if table is self.p["here"] else 0), rows(self, name, table, at))[1])
+    m.score([np.arange(100_000) % 6])
+    assert 100_001 <= sum(looked) < 105_000
+
+
+def test_scores_beyond_what_can_be_raised_stay_finite():
+    """Weights of attention far from 0, and fewer windows than are worked on at once, or more."""
+    rng = np.random.default_rng(4)
+    m = attention.fit_model([rng.integers(0, 5, 200) for _ in range(30)], 6, steps=5)
+    m.p["q"] *= 200
+    m.p["k"] *= 200
+    texts = [rng.integers(0, 6, n) for n in (0, 30, 24 * 130, 24 * 600 + 5)]
+    got = m.score(texts)
+    assert np.isfinite(got).all() and np.allclose(got, [m.score([t])[0] for t in texts], rtol=1e-4)
+
+
 def test_the_model_is_a_distribution_and_causal():
     """The probabilities of all ids at a place sum to 1, and a place's do not depend on what comes after."""
     rng = np.random.default_rng(1)
