@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfold.llm import decontaminate, htmlpages, licenses, lm_score, minhash, pieces, pivots, quality, token_counts, toxicity
+from nearfold.llm import decontaminate, fingerprints, htmlpages, licenses, lm_score, minhash, pieces, pivots, quality, repeats, spellings, token_counts, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,8 +54,21 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_neighbours(_read(spark, sf_dir, "documents"))
+
+
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variant_query(_read(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.run_query(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scores, op2_html, op3_pivots, op4_toxicity, op5_licenses, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)}
+    ten = (op1_lm_scores, op2_html, op3_pivots, op4_toxicity, op5_licenses, op6_quality, op7_token_counts, op8_decontaminate, op9_minhash, op10_pieces)
+    return {f.__name__: f for f in (*ten, op11_fingerprints, op12_spellings, op13_runs)}
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,7 +98,24 @@ e AS (SELECT p.id AS a, q.id AS b FROM x p JOIN x q ON p.t = q.t AND p.id <> q.i
 SELECT id AS doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = id AS kept FROM least_ JOIN sets USING (id)"""
 
 
+_CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc"
+_BYTES = "flatten(list_transform(string_split(doc_id::VARCHAR || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 | (unicode(c) >> 6))::BIGINT, (128 | (unicode(c) & 63))::BIGINT] END))"
+_VARIANTS = rf"""WITH RECURSIVE t AS MATERIALIZED ({_CRC_TABLE}),
+r AS (SELECT doc_id, unnest(regexp_extract_all({_LOW}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, {_BYTES}), lambda c, b: xor(crc[(xor(c, b) & 255) + 1], c >> 8))) AS h FROM d, t),
+cut AS (SELECT n, CASE WHEN h % 31 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gap AS MATERIALIZED (SELECT word, k, word[:k - 1] AS l, word[k + 1:] AS r FROM (SELECT word, unnest(range(1, length(word) + 1)) AS k FROM v)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other FROM gap a JOIN gap b ON a.k = b.k AND a.l = b.l AND a.r = b.r AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM gap a JOIN v b ON b.word = a.l || a.r UNION SELECT b.word, a.word FROM gap a JOIN v b ON b.word = a.l || a.r),
+best AS (SELECT near.word, count(*) AS n_near, arg_min(other, (-m.n, other)) AS form, max(m.n) AS form_n FROM near JOIN v m ON m.word = other GROUP BY near.word),
+told AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form END AS form, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at, form AS up FROM told UNION ALL SELECT walk.word, told.word, told.form FROM walk JOIN told ON told.word = walk.up)
+SELECT told.word, form, walk.at AS root, n, n_near, form_n FROM told JOIN walk ON walk.word = told.word AND walk.up IS NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     """For the exact operators.  The others train a model or follow a tokenizer, which SQL cannot express; tests hold
     them against brute force, the libraries, or labels kept apart."""
-    return {"op3_pivots": _LINKS, "op8_decontaminate": _LEAKS, "op9_minhash": _NEAR}
+    return {"op3_pivots": _LINKS, "op8_decontaminate": _LEAKS, "op9_minhash": _NEAR, "op12_spellings": _VARIANTS}

@@ -84,7 +84,12 @@ def map_texts(
         del work
         give_back()
 
-    return small_batches(df).select(*cols).mapInArrow(run, out)
+    return small_batches(df).select(*map(quoted, cols)).mapInArrow(run, out)
+
+
+def quoted(name: str) -> str:
+    """A column's name, whatever characters it has, as select() takes it."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def slices(batch: pa.RecordBatch, text_col: str) -> Iterator[pa.RecordBatch]:
