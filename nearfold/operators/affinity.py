@@ -24,7 +24,12 @@ EXAGGERATION = 12.0
 
 
 def search_beta(d: np.ndarray, perplexity: float, shrink: str = "halve") -> tuple[np.ndarray, ...]:
-    """beta, tries, found, entropy and p of each row of distances, all rows bisected together.
+    """beta, tries, found, entropy and p of each row of distances, all rows bisected together."""
+    return _search(d, perplexity, shrink)[:5]
+
+
+def _search(d: np.ndarray, perplexity: float, shrink: str) -> tuple[np.ndarray, ...]:
+    """search_beta(), and the beta and the sum of each row that its p is made with.
 
     shrink: what a beta that is too sharp from the start becomes: "halve" (the published method) or "five" (5, then 5
     times more each try, which some implementations do and which never comes back)."""
@@ -32,7 +37,7 @@ def search_beta(d: np.ndarray, perplexity: float, shrink: str = "halve") -> tupl
     n = len(d)
     beta, low, high = np.ones(n), np.full(n, -np.inf), np.full(n, np.inf)
     tries, found, entropy = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool), np.zeros(n)
-    p, total = np.zeros_like(d2), np.ones(n)
+    p, total, used = np.zeros_like(d2), np.ones(n), np.ones(n)
     target = np.log(perplexity)
     for _ in range(TRIES):
         on = np.flatnonzero(~found)
@@ -42,7 +47,7 @@ def search_beta(d: np.ndarray, perplexity: float, shrink: str = "halve") -> tupl
         own = np.exp(-b[:, None] * d2[on])
         s = own.sum(axis=1) + SMALLEST
         h = (b[:, None] * own * d2[on]).sum(axis=1) / s + np.log(s)
-        p[on], total[on], entropy[on] = own, s, h
+        p[on], total[on], entropy[on], used[on] = own, s, h, b
         tries[on] += 1
         diff = h - target
         done = np.abs(diff) < TOLERANCE
@@ -58,7 +63,7 @@ def search_beta(d: np.ndarray, perplexity: float, shrink: str = "halve") -> tupl
         with np.errstate(invalid="ignore"):
             beta[down] = np.where(np.isinf(low[down]), less, (beta[down] + low[down]) / 2)
         beta = np.clip(beta, -LARGEST, LARGEST)
-    return beta, tries, found, entropy, p / (total + EPSILON)[:, None]
+    return beta, tries, found, entropy, p / (total + EPSILON)[:, None], used, total
 
 
 _ROW = "i long, beta double, tries int, found boolean, entropy double, j array<long>, p array<double>"

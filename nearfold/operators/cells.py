@@ -6,18 +6,28 @@ their width is below the rounding of positions.  A target takes a cell as a whol
 < theta; in a leaf that holds the target itself that one is not counted.  As theta goes to 0 the sums become those over
 all pairs.
 
-Over DataFrames the cells down to a depth are one aggregate, no more than CELLS rows, which are broadcast as a tree.  Where
-a target needs more of a last-level cell, it asks the points of that cell, in a second step: both are dealt by cell, the
-points as distinct positions with their numbers, and each cell's points become a tree of their own.  Cells of many points
-are few unless positions are heaped up; their asking targets are split over several tasks.
+Over DataFrames part of the tree is on the driver and broadcast.  In few dimensions that is a grid, all cells down to a
+depth, which are one aggregate of no more than CELLS rows.  From the dimension on where a grid that small would have
+fewer than GRID levels it is a linear tree: cells are named by their paths, one digit of as many bits as there are axes
+for each level, and level by level an aggregate over the paths finds the cells of more than CROWD points, which alone are
+cut on.  Their number goes with points / CROWD in any dimension, and sparse parts of space have none.
+
+Where a target needs more of a cell than the tree holds, it asks the points of that cell that are in none of its cells
+further down, in a second step.  They are dealt into buckets of POINTS by a hash, so that no task holds more whatever the
+dimension; a bucket's points, as distinct positions with their numbers, become a tree of their own, and many asking
+targets are split over several tasks.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +36,13 @@ from nearfold.sources.folders import once
 
 #: Cells that may be broadcast: about 50 bytes each.
 CELLS = 1 << 20
-#: Levels of a tree at most.
-LEVELS = 50
+#: Levels of a tree at most; levels that a grid has at least.
+LEVELS, GRID = 50, 3
+#: Points of a cell of a linear tree beyond which it is cut on; points of a bucket.
+CROWD, POINTS = 2048, 16_384
 #: Targets that walk a tree together: so many that what they look at stays in the processor's cache.
 TARGETS = 4096
-#: Targets that ask one cell in one task.
+#: Targets that ask one bucket in one task.
 ASKS = 50_000
 
 
@@ -77,7 +89,7 @@ class CellTree:
     leaf: np.ndarray
     first: np.ndarray  # first child
     children: np.ndarray
-    cell: np.ndarray  # number of a cell that is no leaf and has no children here, else -1
+    cell: np.ndarray  # number of a cell with points that are in none of its children here, else -1
 
     @classmethod
     def build(cls, y: np.ndarray, weight: np.ndarray | None = None) -> CellTree:
@@ -208,7 +220,6 @@ class CellTree:
                 if deeper and (below := self.cell.take(cell) >= 0).any():
                     open_point.append(a + point[below])
                     open_cell.append(self.cell[cell[below]])
-                    point, cell = point[~below], cell[~below]
                 many = self.children.take(cell)
                 past = np.cumsum(many)
                 cell = np.repeat(self.first.take(cell) - (past - many), many) + np.arange(past[-1] if len(past) else 0)
@@ -216,22 +227,125 @@ class CellTree:
         return force, total, np.concatenate(open_point), np.concatenate(open_cell)
 
 
-def tree_of(y: DataFrame, depth: int) -> tuple[CellTree, np.ndarray, np.ndarray, np.ndarray]:
-    """The cell table of positions as a tree on the driver, whose size the depth bounds; the keys of the cells of the
-    last level that are no leaves, by number; and center and half-widths of the root."""
+@dataclass
+class InGrid:
+    number: dict[bytes, int]  # of the cells of the last level, by their keys
+    open: np.ndarray
+    depth: int
+
+    def __call__(self, y: np.ndarray, center: np.ndarray, half: np.ndarray) -> np.ndarray:
+        at = np.array([self.number.get(k.tobytes(), -1) for k in _keys(y, center, half, self.depth)], dtype=np.int64)
+        return np.where(self.open[at], at, -1) if len(self.open) else at
+
+
+@dataclass
+class InPaths:
+    below: list[dict[tuple[int, bytes], int]]  # of each level from 1, cells by the cell above and the digit
+    cell: np.ndarray  # numbers of open cells
+
+    def __call__(self, y: np.ndarray, center: np.ndarray, half: np.ndarray) -> np.ndarray:
+        node, on = np.zeros(len(y), dtype=np.int64), np.arange(len(y))
+        for level, below in enumerate(self.below, 1):
+            digit = (_keys(y[on], center, half, level) & 1).astype(np.uint8)
+            down = np.array([below.get((a, b.tobytes()), -1) for a, b in zip(node[on].tolist(), digit, strict=True)], dtype=np.int64)
+            on, down = on[down >= 0], down[down >= 0]
+            node[on] = down
+        return self.cell[node]
+
+
+@dataclass
+class Partial:
+    """A tree, and how the points that it does not hold one by one are dealt: each of its open cells has some buckets."""
+
+    tree: CellTree
+    center: np.ndarray
+    half: np.ndarray
+    buckets: np.ndarray  # of each open cell
+    where: InGrid | InPaths  # the open cell of each position, -1 for one in a leaf
+
+    def __post_init__(self):
+        self.begin = np.cumsum(self.buckets) - self.buckets
+
+    def asked(self, point: np.ndarray, cell: np.ndarray, targets: int) -> list[np.ndarray]:
+        """The buckets that each target asks."""
+        many = self.buckets[cell]
+        past = np.cumsum(many)
+        bucket = np.repeat(self.begin[cell] - (past - many), many) + np.arange(past[-1] if len(past) else 0)
+        point = np.repeat(point, many)
+        return np.split(bucket[np.argsort(point, kind="stable")], np.cumsum(np.bincount(point, minlength=targets))[:-1])
+
+    def bucket(self, y: np.ndarray) -> np.ndarray:
+        """The bucket of each position, -1 for one in a leaf; equal positions have the same."""
+        cell = self.where(y, self.center, self.half)
+        mixed = np.array([zlib.crc32(r.tobytes()) for r in y], dtype=np.int64)
+        return np.where(cell < 0, -1, self.begin[cell] + mixed % np.maximum(self.buckets[cell], 1)) if len(self.buckets) else cell
+
+
+def _several(table: pa.Table, c: str, dims: int) -> np.ndarray:
+    return np.stack([table.column(f"{c}{k}").to_numpy() for k in range(dims)], axis=1)
+
+
+def grid_tree(y: DataFrame, depth: int) -> Partial:
+    """The cell table of positions as a tree, whose size the depth bounds; its cells of the last level that are no leaves
+    are open."""
     dims = len(coordinates(y))
     if depth and sum(2 ** (dims * k) for k in range(depth + 1)) > CELLS:
         raise ValueError(f"depth {depth} may have more than {CELLS} cells in {dims} dimensions")
     root = root_cell(y).first()
     t = cell_table(y, depth).toArrow()
-    col = lambda c: t.column(c).to_numpy()
-    several = lambda c: np.stack([col(f"{c}{k}") for k in range(dims)], axis=1)
     center, half = (np.array([root[f"{c}{k}"] for k in range(dims)]) for c in "cw")
-    level, key, leaf = col("level"), several("k"), col("leaf").astype(bool)
-    tree = CellTree.of(level, key, col("n"), several("m"), col("w"), leaf)
+    level, key, n, leaf = t.column("level").to_numpy(), _several(t, "k", dims), t.column("n").to_numpy(), t.column("leaf").to_numpy().astype(bool)
+    tree = CellTree.of(level, key, n, _several(t, "m", dims), t.column("w").to_numpy(), leaf)
     order = np.lexsort((*reversed((key >> 1).T), level))
     last = order[level[order] == level.max(initial=0)]
-    return tree, key[last], center, half
+    number = {k.tobytes(): at for at, k in enumerate(key[last])}
+    return Partial(tree, center, half, np.ceil(n[last] / POINTS).astype(np.int64), InGrid(number, ~leaf[last], depth))
+
+
+def linear_tree(y: DataFrame) -> Partial:
+    """The cells of more than CROWD points, and the root: one job for each level that has some."""
+    names = coordinates(y)
+    dims = len(names)
+    root = root_cell(y).first()
+    center, half = (np.array([root[f"{c}{k}"] for k in range(dims)]) for c in "cw")
+    same = reduce(lambda a, b: a & b, (F.min(c) == F.max(c) for c in names))
+    sums = [F.count("*").alias("n"), *(F.when(same, F.min(c)).otherwise(F.avg(c)).alias(f"m{k}") for k, c in enumerate(names)), same.alias("leaf")]
+    live, level = y.select(*names, F.lit("").alias("path")), 0
+    levels: list[pa.Table] = []
+    crowd = 0  # the root counts whatever it holds
+    while True:
+        t = live.groupBy("path").agg(*sums).where(F.col("n") > crowd).orderBy("path").toArrow()  # n / CROWD rows at most
+        if not t.num_rows:
+            break
+        levels.append(t)
+        crowd = crowd or max(CROWD, t.column("n")[0].as_py() // (CELLS // 8))
+        open_ = t.filter(pa.compute.invert(t.column("leaf"))).select(["path"])
+        if not open_.num_rows or level == LEVELS:
+            break
+        level += 1
+        part = 2.0**level
+        bits = [F.least(F.greatest(F.floor((F.col(c) - float(center[k] - half[k])) * part / float(2 * half[k])), F.lit(0)), F.lit(int(part) - 1)).bitwiseAND(1).cast("string") for k, c in enumerate(names)]
+        live = live.join(F.broadcast(y.sparkSession.createDataFrame(open_)), "path", "left_semi").withColumn("path", F.concat("path", *bits))
+    size = np.array([t.num_rows for t in levels])
+    first_of = np.cumsum(size) - size
+    n, mass, leaf = (np.concatenate(x) for x in zip(*((t.column("n").to_numpy(), _several(t, "m", dims), t.column("leaf").to_numpy(zero_copy_only=False)) for t in levels), strict=True))
+    width = np.where(leaf, 0.0, half.max() / 2.0 ** np.repeat(np.arange(len(levels)), size))
+    first, children, left = np.zeros(len(n), dtype=np.int64), np.zeros(len(n), dtype=np.int64), n.copy()
+    child: list[dict[tuple[int, bytes], int]] = []
+    paths = [t.column("path").to_pylist() for t in levels]
+    for lv in range(1, len(levels)):
+        above = {path: first_of[lv - 1] + k for k, path in enumerate(paths[lv - 1])}
+        child.append({})
+        for k, path in enumerate(paths[lv]):  # in the order of their parents
+            up, own = above[path[:-dims]], first_of[lv] + k
+            first[up] = first[up] if children[up] else own
+            children[up] += 1
+            left[up] -= n[own]
+            child[-1][int(up), bytes(map(int, path[-dims:]))] = int(own)
+    open_ = ~leaf & (left > 0)
+    cell = np.where(open_, np.cumsum(open_) - 1, -1)
+
+    return Partial(CellTree(n.astype(float), mass, width, leaf, first, children, cell), center, half, np.ceil(left[open_] / POINTS).astype(np.int64), InPaths(child, cell))
 
 
 def _keys(y: np.ndarray, center: np.ndarray, half: np.ndarray, level: int) -> np.ndarray:
@@ -239,43 +353,40 @@ def _keys(y: np.ndarray, center: np.ndarray, half: np.ndarray, level: int) -> np
     return np.clip(np.floor((y - (center - half)) * part / (2 * half)), 0, part - 1).astype(np.int64)
 
 
-def repulsion(y: DataFrame, theta: float, depth: int | None = None) -> DataFrame:
-    """(id, r0, r1, ..., q) of every position: map-only over a broadcast tree, and a second step, dealt by cell, for what
-    lies below its last level."""
+def repulsion(y: DataFrame, theta: float, depth: int | None = None, keep: Callable[[DataFrame], DataFrame] = once) -> DataFrame:
+    """(id, r0, r1, ..., q) of every position: map-only over a broadcast tree, and a second step, dealt by bucket, for
+    what it does not hold.  depth: of a grid in any case."""
     if not theta > 0:
         raise ValueError("theta must be positive")
     names = coordinates(y)
     dims = len(names)
     spark = y.sparkSession
-    depth = default_depth(dims) if depth is None else depth
-    tree, keys, center, half = tree_of(y, depth)
-    held = spark.sparkContext.broadcast((tree, keys, center, half))
+    part = linear_tree(y) if depth is None and default_depth(dims) < GRID else grid_tree(y, default_depth(dims) if depth is None else depth)
+    held = spark.sparkContext.broadcast(part)
     forces = ", ".join(f"{c} double" for c in (*(f"r{k}" for k in range(dims)), "q"))
     kinds = ", ".join(f"{c} double" for c in names)
 
     def run(batches):
-        tree = held.value[0]
+        part = held.value
         for b in batches:
             own = np.stack([b.column(c).to_numpy() for c in names], axis=1)
-            force, q, point, cell = tree.walk(own, theta)
-            asks = np.split(cell[np.argsort(point, kind="stable")], np.cumsum(np.bincount(point, minlength=len(own)))[:-1])
+            force, q, point, cell = part.tree.walk(own, theta)
+            asks = part.asked(point, cell, len(own))
             yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, force.T), pa.array(q), pa.array(asks, pa.list_(pa.int64()))], names=["id", *names, *(f"r{k}" for k in range(dims)), "q", "asks"])
 
     first = y.select("id", *names).mapInArrow(run, f"id long, {kinds}, {forces}, asks array<long>")
     sums = ["id", *(f"r{k}" for k in range(dims)), "q"]
-    if not (tree.cell >= 0).any():
+    if not (part.tree.cell >= 0).any():
         return first.select(sums)
-    first = once(first)
+    first = keep(first)
     asked = first.select("id", *names, F.explode("asks").alias("cell"))
-    counts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))  # a row for each cell of the last level
+    counts = asked.groupBy("cell").agg(F.ceil(F.count("*") / ASKS).cast("int").alias("parts"))  # a row for each bucket
 
     def place(batches):
-        _, keys, center, half = held.value
-        number = {k.tobytes(): n for n, k in enumerate(keys)}
+        part = held.value
         for b in batches:
             own = np.stack([b.column(c).to_numpy() for c in names], axis=1)
-            cell = np.array([number.get(k.tobytes(), -1) for k in _keys(own, center, half, depth)], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*names, "cell"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part.bucket(own))], names=[*names, "cell"])
 
     points = y.select(*names).mapInArrow(place, f"{kinds}, cell long").groupBy("cell", *names).agg(F.count("*").alias("n"))
     points = points.join(F.broadcast(counts), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("id"), *names, "n")
@@ -283,7 +394,7 @@ def repulsion(y: DataFrame, theta: float, depth: int | None = None) -> DataFrame
     both = points.unionByName(asked).repartition("cell", "part").sortWithinPartitions("cell", "part", F.col("n") == 0)
 
     def near(batches):
-        at, parts, tree = None, [], None  # the cell at work: its points so far, and the tree once targets come
+        at, parts, tree = None, [], None  # the bucket at work: its points so far, and the tree once targets come
         for b in batches:
             cell, part, n = (b.column(c).to_numpy() for c in ("cell", "part", "n"))
             own = np.stack([b.column(c).to_numpy() for c in names], axis=1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -57,9 +58,9 @@ def exact_gradient(p: DataFrame, y: DataFrame) -> DataFrame:
     return gradient(rows, len(diff))
 
 
-def gradient(rows: DataFrame, dims: int) -> DataFrame:
+def gradient(rows: DataFrame, dims: int, keep: Callable[[DataFrame], DataFrame] = once) -> DataFrame:
     """(id, g...) = f - r / Q of rows (id, f..., r..., q), Q being the sum of q; its one row is broadcast."""
-    rows = once(rows)  # a row for each sample, needed twice
+    rows = keep(rows)  # a row for each sample, needed twice
     total = rows.agg(F.sum("q").alias("q_sum"))
     return rows.join(F.broadcast(total)).select("id", *((F.col(f"f{k}") - F.col(f"r{k}") / F.col("q_sum")).alias(f"g{k}") for k in range(dims)))
 
@@ -79,10 +80,10 @@ def update(state: DataFrame, learning_rate: float, momentum: float, dims: int) -
     return state.select("id", *((F.col(f"y{i}") + F.col(f"u{i}")).alias(f"y{i}") for i in k), *(f"u{i}" for i in k), *(f"gain{i}" for i in k))
 
 
-def zero_mean(y: DataFrame) -> DataFrame:
+def zero_mean(y: DataFrame, keep: Callable[[DataFrame], DataFrame] = once) -> DataFrame:
     """The positions less their mean; other columns stay."""
     names = coordinates(y)
-    y = once(y)
+    y = keep(y)
     mean = y.agg(*(F.avg(c).alias(f"mean_{c}") for c in names))
     return y.join(F.broadcast(mean)).select(*((F.col(c) - F.col(f"mean_{c}")).alias(c) if c in names else c for c in y.columns))
 
@@ -96,6 +97,11 @@ def momentum(epoch: int, switch_epoch: int, first: float, final: float) -> float
     return first if epoch <= switch_epoch else final
 
 
+def schedule(epoch: Column, stop_lying_epoch: int, switch_epoch: int, first: float, final: float) -> tuple[Column, Column]:
+    """exaggeration() and momentum() of a column of epochs."""
+    return (F.when(epoch <= stop_lying_epoch, F.lit(12.0)).otherwise(F.lit(1.0)), F.when(epoch <= switch_epoch, F.lit(first)).otherwise(F.lit(final)))
+
+
 def fresh(y: DataFrame) -> DataFrame:
     """State before the first epoch: no velocity, gains of 1."""
     k = range(len(coordinates(y)))

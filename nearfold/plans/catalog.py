@@ -12,10 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearfold.operators import affinity, cells, layout, neighbors, quality
-from nearfold.plans.tsne import TSNE, _joined
+from nearfold.functions.sampling import standard_normal
+from nearfold.operators import adjacency, affinity, cells, layout, neighbors, quality, tiles
+from nearfold.plans.tsne import TSNE, _joined, _tiled
 from nearfold.sources.csv_files import load_csv, write_csv
-from nearfold.sources.folders import once, shared_folder
+from nearfold.sources.folders import delete, once, shared_folder
 
 PERPLEXITY, K = 20.0, 60
 THETA, DEPTH = 0.5, cells.default_depth(2)
@@ -118,9 +119,15 @@ def q_exact(spark, d):
     return total.select(_r("q_total", 3).alias("q_total"))
 
 
+def _exact_gradient(spark, d):
+    points = _points(spark, d)
+    bands = once(tiles.bands(points, PERPLEXITY))
+    forces = tiles.forces(points, bands, _positions(spark, d), affinity.EXAGGERATION / (tiles.p_total(bands) + affinity.EPSILON))
+    return layout.gradient(forces, 2)
+
+
 def exact_gradient(spark, d):
-    g = layout.exact_gradient(affinity.normalized(_dense(spark, d)), _positions(spark, d))
-    return g.select("id", _r(F.col("g0") * 1e8, 4).alias("g0_e8"), _r(F.col("g1") * 1e8, 4).alias("g1_e8"))
+    return _exact_gradient(spark, d).select("id", _r(F.col("g0") * 1e8, 4).alias("g0_e8"), _r(F.col("g1") * 1e8, 4).alias("g1_e8"))
 
 
 def attractive_forces(spark, d):
@@ -168,8 +175,27 @@ def zero_mean(spark, d):
 
 
 def exaggeration_schedule(spark, d):
-    rows = [(e, layout.exaggeration(e, 250), layout.momentum(e, 250, 0.5, 0.8)) for e in range(300)]
-    return spark.createDataFrame(rows, "epoch int, exaggeration double, momentum double")
+    """Exaggeration and momentum of the epochs that the ids of the vectors number."""
+    epoch = F.col("id").cast("int")
+    x, m = layout.schedule(epoch, 250, 250, 0.5, 0.8)
+    return _points(spark, d).select(epoch.alias("epoch"), x.alias("exaggeration"), m.alias("momentum"))
+
+
+def start_positions(spark, d):
+    """The normal numbers, of standard deviation 1, that fits start from."""
+    return _points(spark, d).select("id", *(_r(standard_normal(F.col("id"), 42, k)).alias(f"z{k}") for k in range(2)))
+
+
+def p_csr(spark, d):
+    return adjacency.slots(_sparse(spark, d)).select("i", "j", "slot", _r("p").alias("p"))
+
+
+def csr_forces(spark, d):
+    """attractive_forces by edges that stay where they are."""
+    held = adjacency.Adjacency.of(once(affinity.normalized(_sparse(spark, d))))
+    f = once(held.attraction(_positions(spark, d)))
+    held.release()
+    return f.select("id", _r(F.col("f0") * 1e8, 4).alias("f0_e8"), _r(F.col("f1") * 1e8, 4).alias("f1_e8"))
 
 
 def _step(spark, d, g):
@@ -179,7 +205,7 @@ def _step(spark, d, g):
 
 
 def exact_step(spark, d):
-    return _step(spark, d, layout.exact_gradient(affinity.normalized(_dense(spark, d)), _positions(spark, d)))
+    return _step(spark, d, _exact_gradient(spark, d))
 
 
 def bh_step(spark, d):
@@ -199,6 +225,12 @@ def kl_sparse(spark, d):
     return quality.divergence(_sparse(spark, d), _positions(spark, d), _q(spark, d, 0)).select(_r("kl").alias("kl"))
 
 
+def kl_cells(spark, d):
+    """kl_sparse with the sum of q by cells, as the fits have it: no pair of samples is looked at."""
+    total = _away(spark, d).agg(F.sum("q").alias("q_total"))
+    return quality.divergence(_sparse(spark, d), _positions(spark, d), total).select(_r("kl").alias("kl"))
+
+
 def tsne_exact(spark, d):
     return TSNE(**FIT).exact(spark.read.parquet(f"{d}/embeddings.parquet"), id_col="vec_id", sample_col="embedding").embedding()
 
@@ -207,19 +239,21 @@ def tsne_bh(spark, d):
     return TSNE(**FIT).barnes_hut(spark.read.parquet(f"{d}/embeddings.parquet"), THETA, id_col="vec_id", sample_col="embedding").embedding()
 
 
-def _epochs(spark, d, p, theta):
-    """The first epochs of a fit from fixed positions, P exaggerated in the first two of them."""
-    settings = TSNE(epochs=EPOCHS, stop_lying_epoch=1, momentum_switch_epoch=1).settings
-    y = _joined(once(affinity.normalized(p, 1.0)), _points(spark, d).select("id"), settings, theta, layout.fresh(_positions(spark, d)))
-    return y.select("id", _r(F.col("y0") * 1e4).alias("y0_e4"), _r(F.col("y1") * 1e4).alias("y1_e4"))
+def _settings() -> dict:
+    """The first epochs of a fit, P exaggerated in the first two of them."""
+    return TSNE(epochs=EPOCHS, stop_lying_epoch=1, momentum_switch_epoch=1).settings
 
 
 def exact_epochs(spark, d):
-    return _epochs(spark, d, _dense(spark, d), None)
+    """From fixed positions, by tiles."""
+    y = _tiled(_points(spark, d), _settings(), "euclidean", _positions(spark, d))
+    return y.select("id", _r(F.col("y0") * 1e4).alias("y0_e4"), _r(F.col("y1") * 1e4).alias("y1_e4"))
 
 
 def bh_epochs(spark, d):
-    return _epochs(spark, d, _sparse(spark, d), THETA)
+    """From fixed positions, by slotted edges and cells."""
+    y = _joined(once(affinity.normalized(_sparse(spark, d), 1.0)), _positions(spark, d), _settings(), THETA)
+    return y.select("id", _r(F.col("y0") * 1e4).alias("y0_e4"), _r(F.col("y1") * 1e4).alias("y1_e4"))
 
 
 def csv_roundtrip(spark, d):
@@ -229,13 +263,14 @@ def csv_roundtrip(spark, d):
     points = _points(spark, d)
     width = points.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
     write_csv(points.select("id", *(F.col("v")[k].alias(f"y{k}") for k in range(width))), path)
-    back = load_csv(spark, path, False)
+    back = once(load_csv(spark, path, False))
+    delete(spark, path)
     return back.select("id", *(_r(F.col("v")[k]).alias(f"c{k}") for k in range(width)))
 
 
 _ALL = (
-    src_vectors, pairwise_distance, pairwise_full, knn, knn_mutual, knn_oneway, beta_search, row_entropy, p_conditional, p_symmetric, p_degree, p_row_offsets, p_normalized, p_exact_joint,
-    q_exact, exact_gradient, attractive_forces, bh_root_cell, bh_cells, bh_repulsion, bh_gradient, update_step, zero_mean, exaggeration_schedule, exact_step, bh_step, kl_exact, kl_sparse,
+    src_vectors, pairwise_distance, pairwise_full, knn, knn_mutual, knn_oneway, beta_search, row_entropy, p_conditional, p_symmetric, p_degree, p_row_offsets, p_csr, p_normalized, p_exact_joint,
+    q_exact, exact_gradient, attractive_forces, csr_forces, bh_root_cell, bh_cells, bh_repulsion, bh_gradient, update_step, zero_mean, start_positions, exaggeration_schedule, exact_step, bh_step, kl_exact, kl_sparse, kl_cells,
     exact_epochs, bh_epochs, tsne_exact, tsne_bh, csv_roundtrip,
 )
 
@@ -252,6 +287,7 @@ _CTE = {
     "y": "y AS (SELECT id, e[1] * 1e-4 AS y0, e[2] * 1e-4 AS y1 FROM v)",
     "dist": "dist AS MATERIALIZED (SELECT a.id AS i, b.id AS j, sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS d FROM v a JOIN v b ON a.id <> b.id)",
     "knn": f"knn AS MATERIALIZED (SELECT i, j, d, rk FROM (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rk FROM dist) WHERE rk <= {K})",
+    "met": "met AS (SELECT least(i, j) AS a, greatest(i, j) AS b, count(*) AS n, any_value(i) AS i, any_value(j) AS j FROM knn GROUP BY 1, 2)",
     "nb": "nb AS (SELECT i, list(d * d ORDER BY d, j) AS ds FROM knn GROUP BY i)",
     "nbx": "nbx AS (SELECT i, list(d * d ORDER BY j) AS ds FROM (SELECT i, j, d FROM dist UNION ALL SELECT id, id, 0.0 FROM v) GROUP BY i)",
     "psym": "psym AS (SELECT i, j, sum(p) AS p FROM (SELECT i, j, p / 2 AS p FROM cond UNION ALL SELECT j, i, p / 2 FROM cond) GROUP BY i, j)",
@@ -340,6 +376,12 @@ def _round(x: str, digits: int = 6) -> str:
     return f"round({x}, {digits}) + 0.0"
 
 
+def _normal(k: int) -> str:
+    """The k-th normal number of an id for the seed 42."""
+    digits = lambda at: f"('0x' || substr(md5('42:' || vec_id || ':{k}'), {at}, 13))::BIGINT"
+    return f"sqrt(-2 * ln(({digits(1)} + 0.5) / 4503599627370496)) * cos(2 * pi() * {digits(14)} / 4503599627370496)"
+
+
 def _one_step(g: str) -> str:
     """From velocity 0 and gain 1: the sign of 0 counts as positive."""
     step = [f"y{k} - {RATE} * (CASE WHEN g{k} < 0 THEN 1.2 ELSE 0.8 END) * g{k}" for k in range(2)]
@@ -356,30 +398,34 @@ def oracle_sql() -> dict[str, str]:
         "pairwise_distance": _sql(["v", "dist"], f"SELECT i, j, {_round('d')} AS d FROM dist WHERE i < j"),
         "pairwise_full": _sql(["v", "dist"], f"SELECT i, count(*) AS n, {_round('sum(d)')} AS d_sum, {_round('min(d)')} AS d_min FROM dist GROUP BY i"),
         "knn": _sql(_NEAR, f"SELECT i, rk::INT AS rk, j, {_round('d')} AS d FROM knn"),
-        "knn_mutual": _sql(_NEAR, "SELECT a.i, a.j FROM knn a JOIN knn b ON a.i = b.j AND a.j = b.i"),
-        "knn_oneway": _sql(_NEAR, "SELECT i, j FROM knn a WHERE NOT EXISTS (SELECT 1 FROM knn b WHERE b.i = a.j AND b.j = a.i)"),
+        "knn_mutual": _sql([*_NEAR, "met"], "SELECT unnest([a, b]) AS i, unnest([b, a]) AS j FROM met WHERE n = 2"),
+        "knn_oneway": _sql([*_NEAR, "met"], "SELECT i, j FROM met WHERE n = 1"),
         "beta_search": _sql(_SPARSE[:5], f"SELECT i, {_round('beta')} AS beta, tries::INT AS tries, found FROM search_last"),
         "row_entropy": _sql(_SPARSE[:5], f"SELECT i, {_round('h')} AS entropy FROM search_last"),
         "p_conditional": _sql(_SPARSE[:6], f"SELECT i, j, {_round('p')} AS p FROM cond"),
         "p_symmetric": _sql(_SPARSE, f"SELECT i, j, {_round('p')} AS p FROM psym"),
         "p_degree": _sql(_SPARSE, "SELECT i, count(*) AS degree FROM psym GROUP BY i"),
         "p_row_offsets": _sql(_SPARSE, "SELECT i, coalesce(sum(n) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS row_offset FROM (SELECT i, count(*) AS n FROM psym GROUP BY i)"),
+        "p_csr": _sql(_SPARSE, f"SELECT i, j, row_number() OVER (ORDER BY i, j) - 1 AS slot, {_round('p')} AS p FROM psym"),
         "p_normalized": _sql([*_SPARSE, "pnorm"], f"SELECT i, j, {_round('p * 1e3')} AS p_e3 FROM pnorm"),
         "p_exact_joint": _sql(_DENSE, f"SELECT i, j, {_round('p')} AS p FROM pex"),
         "q_exact": _sql(["v", "y", "qq"], f"SELECT {_round('sum(q)', 3)} AS q_total FROM qq"),
         "exact_gradient": _sql([*_DENSE, "pexn", "y", "qq", "gex"], f"SELECT id, {_round('g0 * 1e8', 4)} AS g0_e8, {_round('g1 * 1e8', 4)} AS g1_e8 FROM gex"),
         "attractive_forces": _sql([*_SPARSE, "pnorm", "y", "qq", "att"], f"SELECT id, {_round('f0 * 1e8', 4)} AS f0_e8, {_round('f1 * 1e8', 4)} AS f1_e8 FROM att"),
+        "csr_forces": _sql([*_SPARSE, "pnorm", "y", "qq", "att"], f"SELECT id, {_round('f0 * 1e8', 4)} AS f0_e8, {_round('f1 * 1e8', 4)} AS f1_e8 FROM att"),
         "bh_root_cell": _sql(["v", "y", "root"], "SELECT " + ", ".join(f"{_round(f'{c} * 1e6')} AS {c}_e6" for c in ("c0", "w0", "c1", "w1")) + " FROM root"),
         "bh_cells": _sql(["v", "y", *_TREE], "SELECT level, k0, k1, n, " + ", ".join(f"{_round(f'{c} * 1e6')} AS {c}_e6" for c in ("m0", "m1", "w")) + ", leaf FROM cells"),
         "bh_repulsion": _sql(["v", "y", "rep"], f"SELECT id, {_round('r0 * 1e4', 4)} AS r0_e4, {_round('r1 * 1e4', 4)} AS r1_e4, {_round('q', 4)} AS q FROM rep"),
         "bh_gradient": _sql([*_SPARSE, "pnorm", "y", "qq", "att", "rep", "gbh"], f"SELECT id, {_round('g0 * 1e8', 4)} AS g0_e8, {_round('g1 * 1e8', 4)} AS g1_e8 FROM gbh"),
         "update_step": _sql(["v"], f"SELECT id, {_round(f'e[1] + {u0}')} AS y0, {_round(f'e[2] + {u1}')} AS y1, {_round(u0)} AS u0, {_round(u1)} AS u1, {_round(g0)} AS gain0, {_round(g1)} AS gain1 FROM v"),
         "zero_mean": _sql(["v", "y"], f"SELECT id, {_round('(y0 - avg(y0) OVER ()) * 1e4')} AS y0_e4, {_round('(y1 - avg(y1) OVER ()) * 1e4')} AS y1_e4 FROM y"),
-        "exaggeration_schedule": "SELECT e::INT AS epoch, CASE WHEN e <= 250 THEN 12.0 ELSE 1.0 END::DOUBLE AS exaggeration, CASE WHEN e <= 250 THEN 0.5 ELSE 0.8 END::DOUBLE AS momentum FROM range(0, 300) t(e)",
+        "exaggeration_schedule": "SELECT vec_id::INT AS epoch, CASE WHEN vec_id <= 250 THEN 12.0 ELSE 1.0 END::DOUBLE AS exaggeration, CASE WHEN vec_id <= 250 THEN 0.5 ELSE 0.8 END::DOUBLE AS momentum FROM embeddings",
+        "start_positions": "SELECT vec_id AS id, " + ", ".join(f"{_round(_normal(k))} AS z{k}" for k in range(2)) + " FROM embeddings",
         "exact_step": _sql([*_DENSE, "pexn", "y", "qq", "gex"], _one_step("gex")),
         "bh_step": _sql([*_SPARSE, "pnorm", "y", "qq", "att", "rep", "gbh"], _one_step("gbh")),
         "kl_exact": _sql([*_DENSE, "y", "qq"], kl.format(m=_MIN, p="pex", total="(SELECT sum(q) FROM qq)")),
         "kl_sparse": _sql([*_SPARSE, "y", "qq"], kl.format(m=_MIN, p="psym", total="(SELECT sum(q) FROM qq WHERE i <> j)")),
+        "kl_cells": _sql([*_SPARSE, "y", "qq", "rep"], kl.format(m=_MIN, p="psym", total="(SELECT sum(q) FROM rep)")),
         "exact_epochs": _sql([*_DENSE, "y", "s0", "epochsx"], f"SELECT id, {_round('y0 * 1e4')} AS y0_e4, {_round('y1 * 1e4')} AS y1_e4 FROM s{EPOCHS}"),
         "bh_epochs": _sql([*_SPARSE, "y", "s0", "epochs"], f"SELECT id, {_round('y0 * 1e4')} AS y0_e4, {_round('y1 * 1e4')} AS y1_e4 FROM s{EPOCHS}"),
         "csv_roundtrip": _sql(["v"], "SELECT row_number() OVER (ORDER BY id) - 1 AS id, " + ", ".join(f"{_round(f'e[{k + 1}]')} AS c{k}" for k in range(64)) + " FROM v"),
