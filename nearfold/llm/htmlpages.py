@@ -1,14 +1,22 @@
 """Main text of web pages: a conditional random field over the leaf blocks of the document tree.
 
 parse() reads a page, however broken, into leaf blocks in page order: text between block-level tags, with the tags and
-class words of its ancestors, without scripts, styles and comments.  Each block gets features of its ancestors, its
-text, and its place; the field labels blocks as article or not, and Viterbi finds the likeliest labelling of the page.
+class words of its ancestors, without scripts, styles and comments.  Each character of a page is looked at a bounded
+number of times.  Each block gets features of its ancestors, its text, and its place; the field labels blocks as article
+or not, and Viterbi finds the likeliest labelling of the page.
+
+What an ancestor's tag and class words say depends on where the article is.  Its likeliest container is found first:
+the article element, else the main one, else that with a class word for content, else the parent of paragraphs, that
+holds most text outside of menus, comments and the like.  The container and what it lies in (the body, wrappers, whose
+classes describe the whole page) say nothing about a block; ancestors inside the container, and those beside it, do.
 
 The field is fitted on labelled pages made by labelled_page() below: PAGES pages of many layouts with made-up words,
 whose article blocks are known.  That number bounds the sample; no page of the input is needed for fitting.
 
 Cases: null, empty or tag-free pages: text outside any tag is one block; pages without article text give an empty
-string; a null id or url and repeated rows give a row each; other columns are ignored; an empty table gives no rows.
+string; a tag that never ends swallows the rest; a very long page is taken whole, in time that grows with its length; of
+containers with equally much text the first counts; a null id or url and repeated rows give a row each; other columns
+are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,9 +38,10 @@ from nearfold.llm.texts import map_texts
 PAGES = 500
 EPOCHS, RATE, DECAY = 150, 0.1, 1e-3
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "math", "object", "canvas")}
+_RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "title", "select", "math", "object", "canvas")}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: What an opening tag closes, up to the given borders.
@@ -49,24 +58,41 @@ _HINTS = {
 _HINT_OF = {w: kind for kind, words in _HINTS.items() for w in words.split()}
 
 
-@dataclass
-class Inside:
-    """What the features need of a block's ancestors.  Each open tag carries that of its own path, made from the one
-    above it in constant space: no block holds as many entries as it is deep."""
-
-    tags: frozenset[str] = frozenset()  # of those in _TAGS
-    hints: frozenset[str] = frozenset()
-    boxed: frozenset[str] = frozenset()  # tags from the first article on
-    articles: int = 0
-    parent: str = ""  # the innermost block-level tag
+#: Kinds of class words, and tags, whose text is not the article's, if they stand alone; first parts of class words that
+#: say what a page has or lacks.
+_AGAINST = {"ad", "notice", "comments", "side", "menu", "foot", "form"}
+_BESIDE = {"nav", "aside", "footer", "form"}
+_WITH = {"no", "has", "with", "without", "is", "not", "hide", "show", "toggle"}
+_KNOWN = frozenset(_TAGS)
+_NONE: frozenset[str] = frozenset()
 
-    def within(self, tag: str, hints: set[str]) -> Inside:
-        known = {tag} & _KNOWN
-        boxed = self.boxed | known if self.articles or tag == "article" else self.boxed
-        return Inside(self.tags | known, self.hints | hints, boxed, self.articles + (tag == "article"), tag if tag in _BLOCK else self.parent)
 
+@dataclass(slots=True, eq=False)
+class Inside:
+    """An open tag and, made from the one above it in constant space, what the features need of its path: no block holds
+    as many entries as it is deep."""
+
+    tag: str = ""
+    hints: frozenset[str] = _NONE  # kinds of its own class words
+    against: bool = False  # it or one above it is not the article's, by a class word that stands alone or its tag
+    up: Inside | None = None
+    number: int = 0
+    tags: frozenset[str] = _NONE  # of the path, those in _TAGS
+    articles: int = 0  # on the path
+    parent: str = ""  # the innermost block-level tag
+    body: bool = False  # named as the body of an article
 
-_KNOWN = frozenset(_TAGS)
+    def within(self, number: int, tag: str, words: set[str]) -> Inside:
+        """A tag below this one, of class words in lower case."""
+        hints, alone = set(), False
+        for w in words if tag not in ("body", "html") else ():
+            parts = [x for x in re.split(r"[^a-z0-9]+", w) if x]
+            if len(parts) > 1 and parts[0] in _WITH:
+                continue
+            hints |= {_HINT_OF[x] for x in parts if x in _HINT_OF}
+            alone |= len(parts) == 1 and _HINT_OF.get(parts[0]) in _AGAINST
+        tags = self.tags if tag in self.tags or tag not in _KNOWN else self.tags | {tag}
+        return Inside(tag, frozenset(hints), self.against or alone or tag in _BESIDE, self, number, tags, self.articles + (tag == "article"), tag if tag in _BLOCK else self.parent, "articlebody" in words)
 
 
 @dataclass
@@ -76,10 +102,52 @@ class Block:
     linked: float  # share of the text inside links
 
 
+class Tags:
+    """Where the tags of a page end.  What was looked for in vain is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.none = page, set()
+        self.ahead = (-1, -1)  # from the first on there is no stop before the second
+
+    def _find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.none.add(what)
+        return found
+
+    def _stop(self, at: int) -> int:
+        if not self.ahead[0] <= at <= self.ahead[1]:
+            m = _STOP.search(self.page, at)
+            self.ahead = (at, m.start() if m else len(self.page))
+        return self.ahead[1]
+
+    def end(self, at: int) -> int:
+        """Of a tag: after the next > outside of quotes, a quote that is never closed being none; else of the page."""
+        while (stop := self._stop(at)) < len(self.page) and self.page[stop] != ">":
+            close = self._find(self.page[stop], stop + 1)
+            at = close + 1 if close > 0 else stop + 1
+        return min(stop + 1, len(self.page))
+
+    def markup(self, at: int) -> int:
+        """The end of a comment, a CDATA section or a declaration at `at`."""
+        page = self.page
+        if page.startswith("<!--", at):
+            close = self._find("-->", at + 4)
+            return close + 3 if close > 0 else len(page)
+        close = self._find("]]>", at) if page.startswith("<![CDATA[", at) else -1
+        if close > 0:
+            return close + 3
+        close = self._find(">", at)
+        return close + 1 if close > 0 else len(page)
+
+
 def parse(page: str) -> list[Block]:
     """The page's leaf blocks in order."""
     blocks: list[Block] = []
     stack: list[tuple[str, Inside]] = []
+    root, made, tags = Inside(), 0, Tags(page)
     open_: Counter[str] = Counter()  # tags on the stack: what is not there is not looked for
     held: list[str] = []
     chars = linked = links = 0
@@ -89,7 +157,7 @@ def parse(page: str) -> list[Block]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                blocks.append(Block(text, stack[-1][1] if stack else Inside(), linked / max(1, chars)))
+                blocks.append(Block(text, stack[-1][1] if stack else root, linked / max(1, chars)))
             held.clear()
         chars = linked = 0
 
@@ -114,15 +182,16 @@ def parse(page: str) -> list[Block]:
             add(page[at:])
             break
         add(page[at:cut])
-        m = _TOKEN.match(page, cut)
+        if page.startswith(("<!", "<?"), cut):
+            at = tags.markup(cut)
+            continue
+        m = _NAME.match(page, cut + 1)
         if not m:
             add("<")
             at = cut + 1
             continue
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
+        at = tags.end(m.end())
+        tag, rest = m[2].lower(), page[m.end() : at - (page[at - 1] == ">")]
         if m[1]:
             if tag in _BLOCK:
                 flush()
@@ -135,7 +204,7 @@ def parse(page: str) -> list[Block]:
             continue
         if tag in _RAW:
             end = _RAW[tag].search(page, at)
-            at = end.end() if end else size
+            at = tags.end(end.end()) if end else size
             continue
         if tag == "br":
             add(" ")
@@ -156,15 +225,14 @@ def parse(page: str) -> list[Block]:
                     if stack[k][0] in ends:
                         pop(k)
                         break
-        if tag in _VOID or m[3].endswith("/"):
+        if tag in _VOID or rest.endswith("/"):
             continue
-        hints = set()
-        if m[3] and "=" in m[3]:
-            for a in _ATTRIBUTE.finditer(m[3]):
-                for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower()):
-                    if w in _HINT_OF:
-                        hints.add(_HINT_OF[w])
-        stack.append((tag, (stack[-1][1] if stack else Inside()).within(tag, hints)))
+        words: set[str] = set()
+        if "=" in rest:
+            for x in _ATTRIBUTE.finditer(rest):
+                words |= set((x[2] or x[3] or x[4] or "").lower().split())
+        made += 1
+        stack.append((tag, (stack[-1][1] if stack else root).within(made, tag, words)))
         open_[tag] += 1
         links += tag == "a"
     flush()
@@ -175,34 +243,86 @@ _KINDS = [*(f"in {t}" for t in _TAGS), *(f"parent {t}" for t in _TAGS), *(f"hint
 _KINDS += [f"words {k}" for k in range(8)] + [f"linked {k}" for k in range(4)] + [f"place {k}" for k in range(5)] + [f"from end {k}" for k in range(5)]
 _KINDS += ["bias", "copyright", "sentence", "one word", "article page", "article page, outside", "main page, outside", "first heading", "comment inside article", "bare body", "apart", "clean article", "apart in article", "clean main", "apart in main", "clean, no main", "alone"]
 _NUMBER = {k: n for n, k in enumerate(_KINDS)}
-_WIDTH = 40
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    """Feature numbers of each block, padded."""
-    out = np.full((len(blocks), _WIDTH), len(_KINDS), dtype=np.int64)
-    n = len(blocks)
-    articles, mains = any(b.inside.articles for b in blocks), any("main" in b.inside.tags for b in blocks)
-    named_main = any("main" in b.inside.hints for b in blocks)
-    for k, block in enumerate(blocks):
+def _paths(blocks: list[Block]) -> list[Inside]:
+    """All tags that blocks lie in, those above others first."""
+    found: dict[int, Inside] = {}
+    for b in blocks:
+        x = b.inside
+        while x is not None and x.number not in found:
+            found[x.number] = x
+            x = x.up
+    return [found[k] for k in sorted(found)]
+
+
+def _container(blocks: list[Block], paths: list[Inside]) -> tuple[Inside | None, str]:
+    """The likeliest container of the article, and its kind: article, main or neither."""
+    weight: Counter[int] = Counter()  # text inside, links left out; little of it where it is not the article's
+    direct: Counter[int] = Counter()  # the same in paragraphs right below
+    by = {x.number: x for x in paths}
+    titled = set()
+    for b in blocks:
+        own = len(b.text) * (1 - b.linked) * (0.1 if b.inside.against else 1)
+        weight[b.inside.number] += own
+        x = b.inside
+        while x is not None and x.tag not in _BLOCK:
+            x = x.up
+        if x is not None and x.tag == "p" and x.up is not None:
+            direct[x.up.number] += own
+        if "h1" in b.inside.tags:
+            titled.add(b.inside.number)
+    for x in reversed(paths):
+        if x.up is not None:
+            weight[x.up.number] += weight[x.number]
+            if x.number in titled:
+                titled.add(x.up.number)
+    for kind, of in (("article", lambda x: x.tag == "article" or x.body), ("main", lambda x: x.tag == "main"), ("main", lambda x: "main" in x.hints)):
+        if some := [x for x in paths if of(x)]:
+            return max(some, key=lambda x: (weight[x.number], -x.number)), kind
+    if direct:
+        return by[max(direct, key=lambda k: (direct[k] * (1 + (k in titled)), -k))], ""
+    return None, ""
+
+
+def features(blocks: list[Block]) -> list[list[int]]:
+    """Feature numbers of each block."""
+    out, n = [], len(blocks)
+    paths = _paths(blocks)
+    home, kind = _container(blocks, paths)
+    holders, x = set(), home
+    while x is not None:
+        holders.add(x.number)
+        x = x.up
+    # of each path: kinds of class words and tags that are said of less than the whole article, and whether it is in there
+    live, boxed, inner, main = {}, {}, {}, {}
+    for x in paths:
+        k, up = x.number, x.up.number if x.up is not None else -1
+        held = k in holders or x.up is None or x.tag in ("body", "html")
+        live[k] = _NONE if held else live[up] if x.hints <= live[up] else live[up] | x.hints
+        boxed[k] = _NONE if held else boxed[up] if x.tag not in _KNOWN or x.tag in boxed[up] else boxed[up] | {x.tag}
+        inner[k] = x is home or inner.get(up, False)
+        main[k] = x.tag == "main" or "main" in x.hints or main.get(up, False)
+    nested = home.articles if home is not None else 0
+    for at, block in enumerate(blocks):
         b, text = block.inside, block.text
-        boxed = b.boxed if b.articles else b.tags
-        apart = bool(b.hints - {"main"}) or any(t in ("nav", "aside", "footer", "form", "button", "label") for t in boxed)
-        if b.articles:
+        hints = live[b.number]
+        apart = bool(hints - {"main"}) or any(t in boxed[b.number] for t in ("nav", "aside", "footer", "form", "button", "label"))
+        if inner[b.number] and kind:
+            named = {f"apart in {kind}" if apart or b.articles > nested else f"clean {kind}"}
+        elif b.articles:  # another article
             named = {"apart in article" if apart or b.articles > 1 else "clean article"}
-        elif "main" in b.tags or "main" in b.hints:
-            named = {"apart in main" if apart else "clean main"}
         else:
-            named = {"apart"} if apart else set() if articles or mains or named_main else {"clean, no main"}
-        own = named | {"bias", *(f"in {t}" for t in b.tags), *(f"hint {h}" for h in b.hints)}
+            named = {"apart"} if apart else set() if kind else {"clean, no main"}
+        own = named | {"bias", *(f"in {t}" for t in b.tags), *(f"hint {h}" for h in hints)}
         own.add(f"parent {b.parent}" if b.parent else "bare body")
-        if "main" in b.hints:
-            own |= {f"main hint over {h}" for h in b.hints}
+        if main[b.number]:
+            own |= {f"main hint over {h}" for h in hints}
         words = text.count(" ") + 1
         own.add(f"words {min(7, words.bit_length() - 1)}")
         own.add(f"linked {min(3, int(block.linked * 4))}")
-        own.add(f"place {min(4, k * 5 // n)}")
-        own.add(f"from end {min(4, n - 1 - k)}")
+        own.add(f"place {min(4, at * 5 // n)}")
+        own.add(f"from end {min(4, n - 1 - at)}")
         if n == 1:
             own.add("alone")
         if words == 1:
@@ -211,16 +331,23 @@ def features(blocks: list[Block]) -> np.ndarray:
             own.add("copyright")
         if text[-1] in ".!?:;\"”" and words > 3:
             own.add("sentence")
-        if articles:
-            own.add("article page" if "article" in b.tags else "article page, outside")
-        if mains and "main" not in b.tags:
+        if kind == "article":
+            own.add("article page" if inner[b.number] else "article page, outside")
+        if kind == "main" and not inner[b.number]:
             own.add("main page, outside")
         if "h1" in b.tags:
             own.add("first heading")
-        if "comments" in b.hints and "article" in b.tags:
+        if "comments" in hints and b.articles:
             own.add("comment inside article")
-        ids = sorted(_NUMBER[x] for x in own if x in _NUMBER)[:_WIDTH]
-        out[k, : len(ids)] = ids
+        out.append(sorted(_NUMBER[x] for x in own if x in _NUMBER))
+    return out
+
+
+def _padded(rows: list[list[int]]) -> np.ndarray:
+    """As an array; the number past the last feature stands for none."""
+    out = np.full((len(rows), max(map(len, rows), default=0)), len(_KINDS), dtype=np.int64)
+    for k, r in enumerate(rows):
+        out[k, : len(r)] = r
     return out
 
 
@@ -328,7 +455,7 @@ def labelled_page(rng: random.Random) -> tuple[str, str]:
     for make, p in ((advert, 0.5), (sidebar, 0.25), (form, 0.15), (notice, 0.1)):
         if rng.random() < p * bare:
             body.append(make())
-    box = rng.choice(["<article>"] * 4 + ["<main>", "<main><article>", '<div class="content">', '<div id="post-content">', '<div class="entry">', '<section class="article-body">', '<div class="story"><article>', "<div>"])
+    box = rng.choice(["<article>"] * 4 + [f'<article class="{rng.choice(["post share", "entry has-sidebar", "post type-post", "story promo-off", "top"])}">', '<article id="top">', '<div class="page-content right-sidebar"><article>', '<main class="top"><div class="widget-area-left"><article class="post">'] + ["<main>", "<main><article>", '<div class="content">', '<div id="post-content">', '<div class="entry">', '<section class="article-body">', '<div class="story"><article>', "<div>"])
     closing = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", box)))
     inner = article()
     if rng.random() < 0.15:
@@ -341,7 +468,14 @@ def labelled_page(rng: random.Random) -> tuple[str, str]:
         foot = rng.choice(["<footer>", '<div class="footer">', '<div id="footer">', "<footer>"])
         text = rng.choice([f"&copy; {word()}.com &middot; {sentence()}", f"<p>&copy; {word()} {sentence()}</p>", menu(3), f"<p>{sentence()}</p>" + menu(2)])
         body.append(foot + text + f"</{re.match(r'<(\w+)', foot)[1]}>")
-    head = f"<!DOCTYPE html><html><head><title>{phrase(1, 6)}</title><style>p{{margin:0}}</style></head><body>"
+    wrapper = rng.choice([""] * 3 + ['<div class="wrapper">', '<div class="row no-sidebar">', '<div id="top">', '<div class="widget-area-left">', '<div class="container menu-open">', '<div class="site-header-fixed"><div class="page">'])
+    around = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", wrapper)))
+    if wrapper:
+        at = next(k for k, x in enumerate(body) if x.startswith(box))
+        lo, hi = rng.choice([(at, at + 1), (0, len(body))])
+        body[lo:hi] = [wrapper + "".join(body[lo:hi]) + around]
+    outer = rng.choice(["<body>"] * 3 + [f'<body class="{c}">' for c in ("right-sidebar", "home page top", "single-post has-sidebar logged-in", "no-sidebar menu-closed", "search comments-open")] + ['<body id="top">'])
+    head = f"<!DOCTYPE html><html><head><title>{phrase(1, 6)}</title><style>p{{margin:0}}</style></head>{outer}"
     return head + rng.choice(["", "\n", " "]).join(body) + "</body></html>", " ".join(gold)
 
 
@@ -361,10 +495,10 @@ def fit(pages: int = PAGES, seed: int = 5) -> ChainField:
     for _ in range(pages):
         page, gold = labelled_page(rng)
         blocks = parse(page)
-        ids.append(features(blocks))
+        ids += features(blocks)
         truth += _truth(blocks, gold)
         count.append(len(blocks))
-    return fit_chain(np.concatenate(ids), np.r_[0, np.cumsum(count)], np.array(truth), len(_KINDS) + 1, EPOCHS, RATE, DECAY)
+    return fit_chain(_padded(ids), np.r_[0, np.cumsum(count)], np.array(truth), len(_KINDS) + 1, EPOCHS, RATE, DECAY)
 
 
 def extract(pages: list[str], chain: ChainField) -> list[str]:
@@ -374,7 +508,7 @@ def extract(pages: list[str], chain: ChainField) -> list[str]:
     if not full:
         return [""] * len(pages)
     first = np.r_[0, np.cumsum([len(b) for b in full])]
-    label = chain.viterbi(np.concatenate([features(b) for b in full]), first)
+    label = chain.viterbi(_padded([f for b in full for f in features(b)]), first)
     out, k = [], 0
     for blocks in parsed:
         out.append(" ".join(b.text for b, y in zip(blocks, label[first[k] : first[k] + len(blocks)], strict=True) if y) if blocks else "")

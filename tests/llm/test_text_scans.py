@@ -137,7 +137,48 @@ def test_deep_pages_cost_no_more_for_each_level():
     assert len(blocks) == n and time.process_time() - began < 5
     assert len({id(b.inside.tags) for b in blocks} | {len(b.inside.tags) for b in blocks}) <= n + 2 and max(len(b.inside.tags) for b in blocks) == 1
     inner = htmlpages.parse('<article><div class="ad"><article><p>a<li>b</article>c</div>d</article>e')
-    assert [(b.text, b.inside.articles, b.inside.parent, sorted(b.inside.hints)) for b in inner] == [("a", 2, "p", ["ad"]), ("b", 2, "li", ["ad"]), ("c", 1, "div", ["ad"]), ("d", 1, "article", []), ("e", 0, "", [])]
+    assert [(b.text, b.inside.articles, b.inside.parent, sorted(b.inside.hints)) for b in inner] == [("a", 2, "p", []), ("b", 2, "li", []), ("c", 1, "div", ["ad"]), ("d", 1, "article", []), ("e", 0, "", [])]
+    numbers = htmlpages.features(inner)
+    apart = htmlpages._NUMBER["apart in article"], htmlpages._NUMBER["clean article"]
+    assert [[x in f for x in apart] for f in numbers] == [[True, False]] * 3 + [[False, True], [False, False]]
+
+
+ARTICLE = "<h1>A title of some words</h1><p>First paragraph, which has a number of words in it.</p><p>Second one, with a few more words to read.</p>"
+SAID = "A title of some words First paragraph, which has a number of words in it. Second one, with a few more words to read."
+AROUND = [
+    "<body class='right-sidebar'><article>{}</article>", "<body class='home page top'><article>{}</article>", "<body id=top><article>{}</article>", "<body class='single-post has-sidebar logged-in'><article>{}</article>",
+    "<body class='search comments'><article>{}</article>", "<div class='row no-sidebar'><article>{}</article></div>", "<div class='widget-area-left'><article>{}</article></div>", "<article class='post share'>{}</article>", "<article id='top'>{}</article>",
+    "<div class='row no-sidebar'>{}</div>", "<div class='widget-area-left'>{}</div>", "<body class='right-sidebar'><div id=page>{}</div>", "<main class='top'>{}</main>", "<div class='content has-menu'>{}</div>", "<div class='post-content right-sidebar'>{}</div>",
+    "<body class=top><header><a href=/>Site</a></header><div class='page-content left-sidebar'><article class='post meta'>{}</article><div class=sidebar><p>Something else to read here.</p></div></div><footer>&copy; us</footer>",
+    "<div class='layout with-nav'><nav><a href=/a>one</a> <a href=/b>two</a></nav><main>{}</main></div>", "<div class='alert-free'><article>{}</article></div><div class='cookie-notice'><p>We use cookies on this site.</p></div>",
+    "<article class='entry'>{}<div class='share'><a href=/s>tell others</a></div></article><section id='comments'><article class='comment'><p>I do not agree with any of it, and that at length, at length.</p></article></section>",
+    "<div class='wrapper menu-open'><div class='sidebar'><p>Read this as well, dear reader.</p></div><div class='entry'>{}</div></div>", "<div itemprop='articleBody' class='form-free'>{}</div>", "<section class='top'><div><article>{}</article></div></section>",
+    "<body class='page-template-sidebar'><div class='site-header-fixed'><article>{}</article></div>", "<td class='main top'>{}</td>",
+]
+
+
+@pytest.mark.parametrize("around", AROUND)
+def test_classes_of_the_page_and_its_wrappers_say_nothing_of_the_article(chain, around):
+    assert htmlpages.extract([around.format(ARTICLE)], chain) == [SAID]
+
+
+def test_many_class_words_and_tags_cut_nothing_off(chain):
+    deep = "".join(f"<{t}>" for t in ("main", "section", "div", "ul", "li", "blockquote", "figure", "details", "b"))
+    page = f"<article>{deep}<div class='ad cookie comment sidebar menu footer top share login content'><p>Buy a thing, do.</p></div>" + ARTICLE
+    assert "Buy a thing" not in htmlpages.extract([page], chain)[0]
+
+
+@pytest.mark.parametrize("page", ["<a " * 400_000 + '"', "<![CDATA[>" * 100_000, "<script>" + "</script " * 120_000, "<p class='" * 100_000, "<a \"<b '" * 120_000, "<" * 1_000_000, "<!" * 500_000, "<style></style" * 80_000, "<i " * 300_000 + "'>"])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    htmlpages.parse(page)
+    assert time.process_time() - began < 4
+
+
+def test_broken_tags():
+    said = lambda page: " | ".join(b.text for b in htmlpages.parse(page))
+    assert said("<p>a <a href='x>b</a> c") == "a b c" and said('<p title="a > b">x') == "x" and said("a < b <1 c") == "a < b <1 c"
+    assert said("<p>x<script>if (a < b) { '</p>' }</script>y<style>z</style >w") == "xyw" and said("a<![CDATA[ b > c ]]>d<!-- e > f -->g<?h?>i<!j>k") == "adgik" and said("<p>a<b") == "a"
 
 
 @pytest.mark.parametrize("begin", range(attention.TARGETS))
