@@ -16,8 +16,6 @@ WINDOW, STRIDE = 48, 24
 CLASSES, GROUP = 1024, 32
 WIDTH, HIDDEN = 16, 32
 STEPS, BATCH, RATE = 450, 384, 0.01
-#: A training window is seen whole, and every TARGETS-th of its places predicted, beginning with another in each batch.
-TARGETS = 8
 #: Blocks of STRIDE places that are scored at once, and of them those whose hidden values are made at once.
 SCORED, SEEN = 512, 128
 #: Rows of thin matrices that are multiplied at once.
@@ -178,10 +176,10 @@ class AttentionModel:
             total += np.bincount(np.repeat(text[a:b], STRIDE), weights=got, minlength=len(texts))
         return total / np.log(10)
 
-    def gradients(self, c: np.ndarray, begin: int = 0) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over the places begin, begin + TARGETS, ... of all windows, and its gradients.
+    def gradients(self, c: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean loss over all places of all windows, and its gradients.
         c: windows x (WINDOW + 2) classes, the first of which is only seen as the one before."""
-        p, places = self.p, slice(begin, WINDOW, TARGETS)
+        p, places = self.p, slice(0, WINDOW)
         here = c[:, 1:-1]
         own, q, weights, s, ctx, x, u = self._body(here, c[:, :-2], places)
         wanted = c[:, 2:][:, places].ravel()
@@ -287,7 +285,7 @@ class Descent:
 
     def learn(self, c: np.ndarray, rate: float) -> None:
         """c: windows of WINDOW + 2 classes."""
-        _, d = self.model.gradients(c, self.steps % TARGETS)
+        _, d = self.model.gradients(c)
         self.steps += 1
         step, scale = np.float32(rate / (1 - 0.9**self.steps)), np.float32((1 - 0.99**self.steps) ** -0.5)
         for name, w in self.model.p.items():

@@ -5,16 +5,17 @@ the text's words (those of the base: A-Z lower-cased, apart by any white space);
 each id is scored once, and the score is the log10 probability of all ids and the end.  It learns from every window of
 every document to learn from: sums over all tasks give the counts of ids and of pairs of classes that it starts from; a
 first fit on the driver, of STEPS steps on windows drawn from anywhere in the documents, gives the tasks a common place
-to begin at; then ROUNDS rounds, each over its share of the documents, lead through all windows once, predicting one in
-TARGETS of the places of each.  In a round every task goes on from the same parameters by itself, and the mean over all
-tasks, weighted by windows, is what the next round begins with.
+to begin at; then ROUNDS rounds, each over its share of the documents, lead through all windows once, and every place of
+each is predicted.  In a round every task goes on from the same parameters by itself, and the mean over all tasks,
+weighted by windows, is what the next round begins with.  Rounds, tasks and what is drawn go by hashes of ids and texts,
+and a task takes its documents in their order: how the rows lie changes no score.
 
 The base's word counts cover the whole corpus.  Every task counts the words of its documents, the counts are summed by a
 shuffle, and words come back to documents in two tiers: those with a share of 1 / FREQUENT_PARTS or more of all tokens,
 of which there can be no more than FREQUENT_PARTS, by a broadcast table; the others, too rare to skew anything, by a
 join on the word's 63-bit fingerprint.
 
-Cases: a null or empty text has the end as its only token; rows with a null id are learned from and not held out; with
+Cases: a null or empty text has the end as its only token; a very long one is counted and scored whole, window by window; rows with a null id are learned from and not held out; with
 nothing to learn from N and V are 0 and known is nothing; repeated ids and rows give a row each; other columns are
 ignored; an empty table gives no rows.
 """
@@ -22,11 +23,11 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import zlib
 from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from nearfold.llm.attention import BATCH, CLASSES, STEPS, WINDOW, AttentionModel, Descent, classes_of, cut_windows, last_window, pairs_of, start_model, stream, warm_up
 from nearfold.llm.labelled import id_crc
 from nearfold.llm.pieces import MARK, PieceCodec
-from nearfold.llm.texts import IntTable, checkpoint, give_back, map_texts, slices, small_batches
+from nearfold.llm.texts import IntTable, checkpoint, give_back, map_texts, quoted, slices, small_batches
 from nearfold.llm.wordarrays import BLANK, Hasher, Words, words_of
 
 #: Learning rates of the rounds; and ids of a round's task, at least, where there are so many.
@@ -198,7 +199,7 @@ def _round(runs: DataFrame, model: AttentionModel, rate: float, tasks: int) -> N
             yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["weight", "vector"])
         give_back()
 
-    mean, weight = _mean(small_batches(runs.coalesce(tasks)).mapInArrow(run, "weight long, vector binary"), size, tasks)
+    mean, weight = _mean(small_batches(runs).mapInArrow(run, "weight long, vector binary"), size, tasks)
     held.unpersist()
     if weight:
         cut = np.cumsum([model.p[name].size for name in names])[:-1]
@@ -207,7 +208,7 @@ def _round(runs: DataFrame, model: AttentionModel, rate: float, tasks: int) -> N
 
 
 def train(runs: DataFrame, vocabulary: int, steps: int = STEPS, seed: int = 3) -> AttentionModel:
-    """The model, fitted on all rows; `runs`: row (a number of its own), ids (16 bits each)."""
+    """The model, fitted on all rows; `runs`: key (a hash of what the row holds), ids (16 bits each)."""
     have = _counted(runs.select("ids"), vocabulary, vocabulary + 2, lambda ids: ids)
     cls, within = classes_of(have)
     rng = np.random.default_rng(seed)
@@ -219,16 +220,20 @@ def train(runs: DataFrame, vocabulary: int, steps: int = STEPS, seed: int = 3) -
     part = min(1.0, steps * BATCH * WINDOW / total)
 
     def drawn(batches):
-        own = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        for windows in _windows(batches, vocabulary):
-            some = windows[own.random(len(windows)) < part].astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in some], pa.binary())], names=["window"])
-
-    got = small_batches(runs.select("ids")).mapInArrow(drawn, "window binary").toArrow().column("window").to_pylist()
+        for batch in batches:
+            for piece in slices(batch, "ids"):
+                for ids in _arrays(piece.column("ids").to_pylist()):
+                    windows, rest = cut_windows(stream([ids], vocabulary))  # of one document, whatever lies beside it
+                    windows = np.concatenate([windows, last_window(rest)]) if len(rest) > 2 else windows
+                    some = [w for w in (x.tobytes() for x in windows.astype(np.uint16)) if zlib.crc32(w) < part * 2.0**32]
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary())], names=["window"])
+
+    got = sorted(small_batches(runs.select("ids")).mapInArrow(drawn, "window binary").toArrow().column("window").to_pylist())
     warm_up(model, np.frombuffer(b"".join(got), dtype=np.uint16).reshape(-1, WINDOW + 2), steps, rng)
     for k, rate in enumerate(ROUND_RATES):
-        own = runs.where(F.pmod(F.xxhash64("row"), F.lit(ROUNDS)) == k).select("ids")
-        _round(own, model, rate, max(1, total // ROUNDS // TASK_IDS))
+        tasks = max(1, total // ROUNDS // TASK_IDS)
+        own = runs.where(F.pmod("key", F.lit(ROUNDS)) == k).repartition(tasks, "key").sortWithinPartitions("key", "ids").select("ids")
+        _round(own, model, rate, tasks)
     return model
 
 
@@ -271,7 +276,7 @@ def score_documents(docs: DataFrame, path: str, learn_from: Column | None = None
     least = float(np.log10(0.5) - scale)
     found = asked.join(counts.where(F.col("n") * FREQUENT_PARTS < total), "word", "left").groupBy("row")
     found = found.agg(F.sum(F.coalesce(F.log10(F.col("n") + 0.5) - float(scale), F.lit(least))).alias("more"), F.count("n").alias("seen"))
-    model = spark.sparkContext.broadcast(train(scored.where("learned").select("row", "ids"), PieceCodec(path).size, steps))
+    model = spark.sparkContext.broadcast(train(scored.where("learned").select(F.xxhash64(F.col(quoted(id_col)), "ids").alias("key"), "ids"), PieceCodec(path).size, steps))
     told = map_texts(scored, "ids", [id_col, "held_out", "n_tokens", "sure", "base", "row"], [("score", T.DoubleType())], lambda: lambda got: [model.value.score(_arrays(got))])
     out = told.join(found, "row", "left")
     return out.select(
