@@ -1,8 +1,13 @@
 """Embedding near-duplicates by a pivot-permutation index.
 
-A bounded sample of the vectors serves as pivots.  Every vector is described by its NEAREST nearest pivots, in order of
-cosine; inverted lists name the vectors that have a pivot among theirs.  Two vectors are candidates if they share
-SHARED pivots or more; candidates are compared by cosine in double precision.
+A bounded sample of the vectors serves as pivots.  Every vector is described by its nearest pivots, in order of cosine;
+inverted lists name the vectors that have a pivot among theirs.  Two vectors are candidates if they share SHARED pivots or
+more; candidates are compared by cosine in double precision.
+
+How many nearest pivots that takes depends on the vectors: where all of them lie close together, as with a common mean,
+pairs at the threshold share fewer.  So it is measured: PROBES sampled vectors get a partner each at exactly the threshold,
+moved as the difference of two others points; they, and apart from them the linked pairs that there are among the sampled
+ones, if PAIRS or more, must be candidates but for 1 - ENOUGH.  The first of DEPTHS at which they are is taken.
 
 Lists go by one pivot while that keeps them short on average; beyond some LISTED vectors a list, they go by two pivots,
 of which there are millions of combinations.  The candidates are the same: three shared pivots are shared pairs as well.
@@ -16,7 +21,8 @@ Recall at a cosine of 0.9, the hardest links, is measured against brute force in
 more pivots.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do rows with a
-null id (component null, kept), and vectors of different lengths with each other; repeated rows and ids give a row each;
+null id (component null, kept), and vectors of different lengths with each other; a vector is taken whole, however long;
+of pivots equally near the one with the smaller number comes first; repeated rows and ids give a row each;
 labels and other columns are ignored; an empty table gives no rows.
 """
 
@@ -36,7 +42,11 @@ from nearfold.llm.components import components
 from nearfold.llm.texts import checkpoint
 
 THRESHOLD = 0.9
-NEAREST, SHARED = 12, 3
+SHARED = 3
+#: Nearest pivots that describe a vector, the fewest first; sampled vectors, and the recall at the threshold, to choose by.
+DEPTHS, PROBES, PAIRS, ENOUGH = (12, 16, 24, 32, 48, 64, 96, 128), 1024, 30, 0.97
+#: Depth beyond which lists go by one pivot in any case: the pairs would be too many.
+PAIRED = 16
 #: Pivots: about one for PER_PIVOT vectors, within these bounds; the largest bounds the sample and its broadcast.
 PER_PIVOT, PIVOTS = 64, (64, 8192)
 BLOCK = 1024
@@ -80,7 +90,7 @@ def _matrix(rows: list[bytes], width: int, kind: str) -> np.ndarray:
     return out / np.sqrt((out * out).sum(axis=1, keepdims=True))
 
 
-def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int = NEAREST) -> np.ndarray:
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int = DEPTHS[0]) -> np.ndarray:
     """Numbers of each vector's k nearest pivots, nearest first; ties by the number."""
     k = min(k, len(pivots))
     near = vectors @ pivots.T
@@ -89,7 +99,38 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int = NEAREST) ->
     return np.take_along_axis(top, order, axis=1).astype(np.int16)
 
 
-def _describe(classes: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
+def recall_at(probes: np.ndarray, pivots: np.ndarray, depths: tuple[int, ...] = DEPTHS, seed: int = 1) -> list[float]:
+    """For each depth the share of linked pairs that are candidates: of probes, unit vectors, with a partner each at a cosine
+    of THRESHOLD, or of each other, whichever is less."""
+    rng = np.random.default_rng(seed)
+    moved = probes[rng.permutation(len(probes))] - probes[rng.permutation(len(probes))]
+    moved -= (moved * probes).sum(axis=1, keepdims=True) * probes
+    size = np.sqrt((moved * moved).sum(axis=1, keepdims=True))
+    made = np.flatnonzero(size[:, 0] > 1e-9)
+    partner = (THRESHOLD * probes + (1 - THRESHOLD**2) ** 0.5 * moved / np.maximum(size, 1e-9))[made]
+    one, two = np.nonzero(np.triu(probes @ probes.T >= THRESHOLD, 1))
+    deep = [nearest_pivots(x, pivots, max(depths)).astype(np.int64) for x in (probes, partner)]
+    out = []
+    for k in depths:
+        own, other = (np.zeros((len(x), len(pivots)), dtype=bool) for x in deep)
+        for mark, x in ((own, deep[0]), (other, deep[1])):
+            np.put_along_axis(mark, x[:, :k], True, axis=1)
+        least = min(SHARED, k, len(pivots))
+        found = [1.0]
+        if len(made):
+            found.append(float(((own[made] & other).sum(axis=1) >= least).mean()))
+        if len(one) >= PAIRS:
+            shared = own.astype(np.float32) @ own.T.astype(np.float32)
+            found.append(float((shared[one, two] >= least).mean()))
+        out.append(min(found))
+    return out
+
+
+def depth_for(probes: np.ndarray, pivots: np.ndarray) -> int:
+    return next((k for k, r in zip(DEPTHS, recall_at(probes, pivots), strict=True) if r >= ENOUGH), DEPTHS[-1])
+
+
+def _describe(classes: DataFrame, pivots: np.ndarray, kind: str, depth: int) -> DataFrame:
     held = classes.sparkSession.sparkContext.broadcast(pivots)
     schema = T.StructType([*classes.schema.fields, T.StructField("nearest", T.BinaryType()), T.StructField("pivots", T.ArrayType(T.ShortType()))])
 
@@ -97,7 +138,7 @@ def _describe(classes: DataFrame, pivots: np.ndarray, kind: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
-                own = nearest_pivots(_matrix(b.column("v").to_pylist(), held.value.shape[1], kind), held.value)
+                own = nearest_pivots(_matrix(b.column("v").to_pylist(), held.value.shape[1], kind), held.value, depth)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in own], pa.binary()), pa.array(list(own), pa.list_(pa.int16()))], names=schema.names)
 
     return classes.mapInArrow(run, schema)
@@ -173,19 +214,22 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     classes = checkpoint(classes)
     n, width = classes.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(0))).first()
     wanted = min(PIVOTS[1], max(PIVOTS[0], n // PER_PIVOT))
-    sample = classes.orderBy(F.xxhash64("key"), "key").limit(wanted).select("v").collect()
-    pivots = _matrix([r.v for r in sample], width, kind) if n else np.zeros((1, 1))
-    described = _describe(classes, pivots, kind)
+    sample = classes.orderBy(F.xxhash64("key"), "key").limit(wanted + PROBES).select("v").collect()
+    sampled = _matrix([r.v for r in sample], width, kind) if n else np.zeros((1, 1))
+    pivots = sampled[:wanted]
+    depth = depth_for(sampled[-PROBES:], pivots)
+    described = _describe(classes, pivots, kind, depth)
     # the key of a list: the first pivot * _TWO, and the second pivot + 1 where there is one
     key = lambda a, b=None: a.cast("long") * _TWO + (0 if b is None else b.cast("long") + 1)
-    if NEAREST * n > LISTED * len(pivots):
+    paired = depth <= PAIRED and depth * n > LISTED * len(pivots)
+    if paired:
         keys = F.flatten(F.transform("pivots", lambda a: F.transform(F.filter("pivots", lambda b: b > a), lambda b: key(a, b))))
     else:
         keys = F.transform("pivots", lambda a: key(a))
     member = described.select("id", "weight", "size", "v", "nearest", F.explode(keys).alias("pivot"))
     lists = described.select(F.explode(keys).alias("pivot")).groupBy("pivot").agg(F.count("*").alias("listed")).where("listed > 1")
     # lists by one pivot are PIVOTS[1] at most; those by two are joined by a shuffle
-    member = member.join(F.broadcast(lists) if NEAREST * n <= LISTED * len(pivots) else lists, "pivot")
+    member = member.join(lists if paired else F.broadcast(lists), "pivot")
     blocks = F.ceil(F.col("listed") / F.lit(BLOCK)).cast("int")
     member = member.withColumn("block", F.pmod(F.xxhash64("id", "pivot"), blocks).cast("int"))
     tasks = dealt(meet(member, "pivot", "listed", "id", BLOCK).drop("listed"), "pivot")
