@@ -1,28 +1,34 @@
 """License scans by a positional rare-token index, in SQL functions only; no shuffle but that of the word counts.
 
-Templates are short texts that go with a licence.  Their words and places are an index: for each template, postings
-(word, place, idf), where idf = 1 + ln((files + 1) / (files with the word + 1)) over
-all files: a word that every file has still counts for its place.  An alignment is a place in
-the file less a place in the template, and its share is the idf of all the template's postings that stand at their place
-in it, over the template's whole idf.  A template whose best share is AGREE or more counts if all its key phrases stand
-in the file, word by word.  A template's anchors are its rarest postings, as many as carry more than 1 - AGREE of its idf:
-an alignment without any of them cannot reach AGREE, so the places of the anchors give all the alignments that can.
-
+Templates are short texts that go with a licence.  Their words and places are postings (template, place) with an
+idf = 1 + ln((files + 1) / (files with the word + 1)) over all files: a word that every file has still counts for its
+place.  The index names, for each rare word, its postings: a template enters it with its anchors, its rarest postings, as
+many as carry more than 1 - AGREE of its idf.
+
+A file's own words are gone through once: those that the index has, its rarest words of licences, are looked up.  Each
+posting found gives an alignment, a template and the place in the file less the place in the template.  Of each
+alignment, the template's whole postings are intersected with the file by relative position: its share is the idf of those
+that stand at their place, over the template's whole idf.  As an alignment without any anchor cannot reach AGREE, none is
+missed.  Where an alignment has a share of AGREE or more, the template's key phrases are verified, word by word and last: it
+counts if all of them stand in the file.
+
+The index, the postings and the key phrases are literals of the plan: one expression, whatever the number of templates.
 Beside that the base phrases are counted everywhere: places where their words stand consecutively.
 
-Everything is row-local array work; the templates' few hundred postings are part of the plan.
-
-Cases: a null or empty text has no words, null places, empty labels and score 0; a null id and repeated rows give a row
-each; other columns are ignored; an empty table gives no rows.
+Cases: a null or empty text has no words, null places, empty labels and score 0; a very long text is gone through whole; a
+null id and repeated rows give a row each; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearfold.llm.texts import quoted
+
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -121,19 +127,24 @@ TEMPLATES += [
 #: The share of a template's idf that must agree.
 AGREE = 0.6
 
-VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
+Template = tuple[str, str, tuple[str, ...]]
+
+
+def vocabulary(templates: Sequence[Template]) -> list[str]:
+    return sorted({w for _, text, _ in templates for w in text.split()})
 
 
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), CAPITALS, SMALL), F.lit(WORD), F.lit(0))
 
 
-def idf_of(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """The idf of every template word over all files; as many rows as VOCABULARY has words reach the driver."""
-    own = F.array_intersect(words(F.col(text_col)), F.array(*map(F.lit, VOCABULARY)))
+def idf_of(docs: DataFrame, text_col: str = "text", templates: Sequence[Template] = TEMPLATES) -> dict[str, float]:
+    """The idf of every template word over all files; as many rows as the templates have words reach the driver."""
+    known = vocabulary(templates)
+    own = F.array_intersect(words(F.col(quoted(text_col))), F.array(*map(F.lit, known)))
     seen = docs.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     have = {r.word: r.n for r in seen.collect()}
-    return {w: 1 + math.log((have.get("", 0) + 1) / (have.get(w, 0) + 1)) for w in VOCABULARY}
+    return {w: 1 + math.log((have.get("", 0) + 1) / (have.get(w, 0) + 1)) for w in known}
 
 
 def _places(phrase: str) -> str:
@@ -156,40 +167,58 @@ def anchors(text: str, idf: dict[str, float]) -> list[tuple[str, int]]:
     return out
 
 
-def _share(text: str, idf: dict[str, float]) -> str:
-    """SQL: the largest share of the template's idf that agrees on one alignment, of those that can reach AGREE."""
-    postings = [(w, k, idf[w]) for k, w in enumerate(text.split())]
-    total = sum(v for _, _, v in postings)
-    whole = "array(" + ", ".join(f"named_struct('w', '{w}', 'p', {k}, 'v', {v!r}D)" for w, k, v in postings) + ")"
-    starts = "array_distinct(concat(" + ", ".join(f"transform(filter(sequence(0, size(w) - 1), q -> get(w, q) = '{x}'), q -> q - {k})" for x, k in anchors(text, idf)) + "))"
-    agree = f"aggregate({whole}, 0D, (s, x) -> s + CASE WHEN get(w, a + x.p) = x.w THEN x.v ELSE 0D END)"
-    return f"round(coalesce(array_max(transform({starts}, a -> {agree})), 0D) / {total!r}D, 6)"
+def _sql_index(templates: Sequence[Template], idf: dict[str, float]) -> tuple[str, list[str]]:
+    """SQL: a map from each anchor word to its postings; and those words."""
+    index: dict[str, list[tuple[int, int]]] = {}
+    for t, (_, text, _) in enumerate(templates):
+        for w, k in anchors(text, idf):
+            index.setdefault(w, []).append((t, k))
+    return "map(" + ", ".join(f"'{w}', array({', '.join(f"named_struct('t', {t}, 'p', {k})" for t, k in found)})" for w, found in sorted(index.items())) + ")", sorted(index)
+
+
+def _sql_postings(templates: Sequence[Template], idf: dict[str, float]) -> str:
+    """SQL: the postings of every template, and its whole idf."""
+    each = []
+    for _, text, _ in templates:
+        own = [(w, k, idf[w]) for k, w in enumerate(text.split())]
+        posts = ", ".join(f"named_struct('w', '{w}', 'p', {k}, 'v', {v!r}D)" for w, k, v in own)
+        each.append(f"named_struct('posts', array({posts}), 'total', {sum(v for _, _, v in own)!r}D)")
+    return f"array({', '.join(each)})"
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Sequence[Template] = TEMPLATES) -> DataFrame:
     """`id_col`, n_words, n_base, first_word, last_word, base_labels, labels and score for every row."""
-    idf = idf_of(docs, text_col)
-    df = docs.select(F.col(id_col), words(F.col(text_col)).alias("w")).withColumn("line", F.expr("concat(' ', array_join(w, ' '), ' ')"))
-    base = [f"{_places(p)} AS b{k}" for k, p in enumerate(BASE)]
-    keys = [" AND ".join(f"line LIKE '% {key} %'" for key in phrases) + f" AS k{k}" for k, (_, _, phrases) in enumerate(TEMPLATES)]
-    df = df.selectExpr(id_col, "w", *base, *keys)
-    # without all its key phrases a template does not count, whatever its share
-    shares = [f"CASE WHEN k{k} THEN {_share(text, idf)} ELSE 0D END AS s{k}" for k, (_, text, _) in enumerate(TEMPLATES)]
-    df = df.selectExpr("*", *shares)
+    idf = idf_of(docs, text_col, templates)
+    index, rare = _sql_index(templates, idf)
+    strings = lambda xs: "array(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    keys = "array(" + ", ".join(strings(f" {k} " for k in phrases) for _, _, phrases in templates) + ")"
+    name = quoted(id_col)
+    df = docs.select(F.col(name), words(F.col(quoted(text_col))).alias("w"))
+    # the file's rarest words of licences with their places, and the alignments that they tell of
+    in_index = ", ".join(f"'{x}'" for x in rare)
+    found = f"filter(transform(w, (x, i) -> named_struct('x', x, 'i', i)), h -> h.x IN ({in_index}))"
+    df = df.selectExpr(name, "w", *(f"{_places(p)} AS b{k}" for k, p in enumerate(BASE)), f"{found} AS found")
+    lined = f"array_distinct(flatten(transform(found, h -> transform(element_at({index}, h.x), q -> named_struct('t', q.t, 'a', h.i - q.p)))))"
+    df = df.withColumn("lined", F.expr(lined)).drop("found")
+    # postings intersected by relative position
+    posts = f"element_at({_sql_postings(templates, idf)}, x.t + 1)"
+    share = f"round(aggregate({posts}.posts, 0D, (s, y) -> s + CASE WHEN get(w, x.a + y.p) = y.w THEN y.v ELSE 0D END) / {posts}.total, 6)"
+    df = df.withColumn("agreed", F.expr(f"filter(transform(lined, x -> named_struct('t', x.t, 's', {share})), x -> x.s >= {AGREE}D)")).drop("lined")
+    # the key phrases of what agrees, last
+    df = df.withColumn("line", F.expr("CASE WHEN size(agreed) > 0 THEN concat(' ', array_join(w, ' '), ' ') END"))
+    kept = f"filter(array_distinct(transform(agreed, x -> x.t)), t -> forall(element_at({keys}, t + 1), k -> contains(line, k)))"
+    df = df.withColumn("held", F.expr(f"CASE WHEN size(agreed) > 0 THEN {kept} ELSE cast(array() AS array<int>) END")).drop("line")
     places = f"concat({', '.join(f'b{k}' for k in range(len(BASE)))})"
     ours = ", ".join(f"CASE WHEN size(b{k}) > 0 THEN '{label}' END" for k, label in enumerate(BASE.values()))
-    holds = [f"s{k} >= {AGREE}D AS h{k}" for k in range(len(TEMPLATES))]
-    df = df.selectExpr("*", *holds)
-    theirs = ", ".join(f"CASE WHEN h{k} THEN '{label}' END" for k, (label, _, _) in enumerate(TEMPLATES))
-    best = ", ".join(f"CASE WHEN h{k} THEN s{k} ELSE 0D END" for k in range(len(TEMPLATES)))
-    tidy = lambda x: f"array_join(array_sort(array_distinct(array_compact(array({x})))), ',')"
+    theirs = f"transform(held, t -> element_at({strings(label for label, _, _ in templates)}, t + 1))"
+    tidy = lambda x: f"array_join(array_sort(array_distinct(array_compact({x}))), ',')"
     return df.selectExpr(
-        id_col,
+        name,
         "cast(size(w) AS bigint) AS n_words",
         f"cast(size({places}) AS bigint) AS n_base",
         f"cast(array_min({places}) AS bigint) AS first_word",
         f"cast(array_max({places}) AS bigint) AS last_word",
-        f"{tidy(ours)} AS base_labels",
-        f"{tidy(ours + ', ' + theirs)} AS labels",
-        f"greatest({best}) AS score",
+        f"{tidy(f'array({ours})')} AS base_labels",
+        f"{tidy(f'concat(array({ours}), {theirs})')} AS labels",
+        "coalesce(array_max(transform(filter(agreed, x -> array_contains(held, x.t)), x -> x.s)), 0D) AS score",
     )

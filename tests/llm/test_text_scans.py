@@ -94,6 +94,31 @@ def test_licenses_of_one_file(spark):
     assert {r.labels for r in licenses.scan_licenses(many).collect()} == {"mit"}
 
 
+def test_hundreds_of_templates(spark):
+    """One expression, whatever the number of templates; against all alignments of all of them."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(400)]
+    templates = []
+    for k in range(500):
+        t = [rng.choice(words) for _ in range(rng.randint(5, 30))]
+        at = rng.randrange(len(t) - 3)
+        templates.append((f"label-{k:03d}", " ".join(t), (" ".join(t[at : at + 3]),)))
+    rows = [(k, " ".join([rng.choice(words) for _ in range(10)] + [w for w in rng.choice(templates)[1].split() if rng.random() < 0.95] + [rng.choice(words) for _ in range(5)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = licenses.idf_of(df, templates=templates)
+    found = 0
+    for r in licenses.scan_licenses(df, templates=templates).collect():
+        w, want = rows[r.doc_id][1].split(), set()
+        for label, text, keys in templates:
+            p = text.split()
+            share = max(sum(idf[x] for k, x in enumerate(p) if 0 <= a + k < len(w) and w[a + k] == x) for a in range(-len(p), len(w))) / sum(idf[x] for x in p)
+            if round(share, 6) >= licenses.AGREE and all(f" {key} " in f" {' '.join(w)} " for key in keys):
+                want.add(label)
+        found += len(want)
+        assert r.labels == ",".join(sorted(want))
+    assert found > 20
+
+
 def test_licenses_stay_in_the_jvm(odd):
     plan = licenses.scan_licenses(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
