@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from nearfold.llm.blocks import dealt, forest, meet, runs
 from nearfold.llm.components import components
-from nearfold.llm.texts import SLICE_BYTES, checkpoint, give_back, map_texts
+from nearfold.llm.texts import SLICE_BYTES, checkpoint, give_back, map_texts, quoted
 from nearfold.llm.wordarrays import BLANK, Hasher, joined, mix, words_of
 
 #: Words of a shingle in the query; the pipeline has its own.

@@ -157,6 +157,27 @@ def test_pivots_against_brute_force(spark, monkeypatch, listed):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("mean, wanted", [(0.7, 312), (0.8, 312), (0.8, 8192)])
+def test_recall_with_a_common_mean(spark, monkeypatch, mean, wanted):
+    """Vectors whose cosine is `mean` on average, where few pivots are shared at 0.9 unless more of them describe a vector."""
+    monkeypatch.setattr(pivots, "PIVOTS", (wanted, wanted))
+    rng = np.random.default_rng(3)
+    n = wanted + 4000
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    make = lambda n: unit(np.r_[1, np.zeros(63)] * mean**0.5 + rng.normal(size=(n, 64)) * ((1 - mean) / 64) ** 0.5)
+    v = make(n)
+    one, d = v[:1000], make(1000) - make(1000)
+    d = unit(d - (d * one).sum(1, keepdims=True) * one)
+    c = rng.uniform(0.9, 0.92, (1000, 1))
+    v = np.vstack([v, c * one + np.sqrt(1 - c * c) * d])
+    got = {r.vec_id: r.n_links for r in pivots.near_vectors(spark.createDataFrame([(k, list(map(float, x))) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    asked = np.r_[np.arange(0, 1000, 5), np.arange(1000, len(v), 20)]
+    want = (v[asked] @ v.T >= 0.9).sum(1) - 1
+    found = np.array([got[k] for k in asked])
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() and want.sum() > 250
+    assert pivots.recall_at(v[:300], v[1000 : 1000 + wanted], (12,))[0] < (1 if wanted < 8192 else 0.5)
+
+
 def test_the_pipeline_takes_shingles_of_five_words(spark):
     """Two texts that are near copies by four words, 72 of 88 shared, and not by five, 69 of 89."""
     import corpus_pipeline
@@ -169,3 +190,14 @@ def test_the_pipeline_takes_shingles_of_five_words(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()) == [1, 2]
     df = df.where("doc_id = 1").union(spark.createDataFrame([(3, " ".join(near))], df.schema))
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()] == [1]
+
+
+def test_columns_whose_names_have_dots(spark):
+    """Filters keep all columns, whatever their names."""
+    from nearfold.llm.texts import map_texts
+
+    rows = [(1, "one two three four five six", 7, "x"), (2, "one two three four five six", 8, "y"), (3, "else", 9, None)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "a.b", "c`d"])
+    assert sorted(tuple(r) for r in minhash.drop_near_copies(df).collect()) == [rows[0], rows[2]]
+    kept = map_texts(df, "text", df.columns, [], lambda: lambda texts: [[len(t) for t in texts]], lambda got: [n > 5 for n in got[0]])
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
