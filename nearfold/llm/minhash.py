@@ -266,14 +266,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     told = signed.where(named).select("id", "key").join(classes.select("key", F.col("id").alias("least"), "first"), "key")
     gone = checkpoint(told.select("id", "key", (F.col("first") & (F.col("id") == F.col("least"))).alias("stays")))
     if gone.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return docs.join(_bounded(gone.where("NOT stays").select(F.col("id").alias(id_col))), id_col, "left_anti").select(docs.columns)
+        return docs.join(_bounded(gone.where("NOT stays").select(F.col("id").alias(id_col))), id_col, "left_anti").select(*map(quoted, docs.columns))
 
     # the same id more than once: rows are told apart by their set
     def make():
         hasher = Hasher()
         return lambda texts: [[set_key(s) if len(s) else None for s in shingle_sets(texts, hasher, width)]]
 
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    row = F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row")
     keyed = map_texts(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row), "text", ["id", "row"], [("key", T.BinaryType())], make)
     stays = gone.where("stays").select("id", "key").distinct()
     one = keyed.where(named).join(_bounded(stays), ["id", "key"]).groupBy("id", "key").agg(F.min("row").alias("row"))
