@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -67,13 +68,14 @@ def map_texts(
     kinds = [to_arrow_type(t) for _, t in fields]
     cols = list(dict.fromkeys([*keep, text_col]))
     names = out.names
-    kept = list(keep)
+    alias = {c: f"_{k}" for k, c in enumerate(cols)}  # plain names on the way: a column may have any
+    kept, text = [alias[c] for c in keep], alias[text_col]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            for part in slices(batch, text_col):
-                got = work([t or "" for t in part.column(text_col).to_pylist()])
+            for part in slices(batch, text):
+                got = work([t or "" for t in part.column(text).to_pylist()])
                 left = [part.column(c) for c in kept]
                 if keep_rows:
                     mask = pa.array(np.asarray(keep_rows(got), dtype=bool))
@@ -84,7 +86,7 @@ def map_texts(
         del work
         give_back()
 
-    return small_batches(df).select(*map(quoted, cols)).mapInArrow(run, out)
+    return small_batches(df).select(*(F.col(quoted(c)).alias(a) for c, a in alias.items())).mapInArrow(run, out)
 
 
 def quoted(name: str) -> str:
