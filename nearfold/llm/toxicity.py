@@ -8,7 +8,7 @@ say nothing of the label beyond chance, neither alone nor in a pair with another
 those, and their noise would drown one insult.  A place that says nothing alone counts if the documents that have it
 with some other place have another share of the label than both places by themselves would give.
 
-Cases: a null or empty text has no terms and gets the bias alone; with nothing to learn from every score is 0.5; a null
+Cases: a null or empty text has no terms and gets the bias alone; of a very long one all terms count; with nothing to learn from every score is 0.5; a null
 id, repeated ids and rows each give their own row; other columns are never read; an empty table gives no rows.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from nearfold.llm.labelled import id_crc, sample_ids, sampled
@@ -86,8 +86,9 @@ def _beyond(n: np.ndarray, ones: np.ndarray, logit: np.ndarray) -> np.ndarray:
     return np.where(n >= LEAST, got[0] + got[1], 0.0)
 
 
-def telling(place: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The places that pass LEAST and CHI_SQUARE, alone or in a pair."""
+def telling(place: np.ndarray, first: np.ndarray, labels: np.ndarray, spark: SparkSession | None = None) -> np.ndarray:
+    """The places that pass LEAST and CHI_SQUARE, alone or in a pair.  The pairs are square in the places of the sample:
+    with a session they are dealt to its executors, block by block."""
     known, of = np.unique(place, return_inverse=True)
     doc = np.repeat(np.arange(len(labels)), np.diff(first))
     n, ones = len(labels), labels.sum()
@@ -111,36 +112,71 @@ def telling(place: np.ndarray, first: np.ndarray, labels: np.ndarray) -> np.ndar
     # with any other; where both leave the label at its base rate, fewer documents than this cannot reach `least`
     least = CHI_SQUARE + 2 * np.log(max(1, enough.sum()))
     rest = np.flatnonzero(enough & ~alone & (have * 2 * np.log(n / min(ones, n - ones)) >= least))
-    at = np.full(len(known), -1)
-    at[rest] = np.arange(len(rest))
-    here = at[of] >= 0
-    cells = np.zeros((len(rest), n), dtype=np.uint8)
-    cells[at[of[here]], doc[here]] = 1
-    blocks = [slice(k, k + PAIR_BLOCK) for k in range(0, len(rest), PAIR_BLOCK)]
-    truth = labels.astype(np.float32)
-    odds_of = np.exp(base + logit[rest]).astype(np.float32)
-    for k, rows in enumerate(blocks):
-        x = cells[rows].astype(np.float32)
-        marked = x * truth
-        for cols in blocks[k:]:
-            y = cells[cols].astype(np.float32).T
-            m, toxic = x @ y, marked @ y
-            # the statistic is 2 (toxic - m q)**2 / (m q (1 - q)) at most; only where that may reach `least` it is computed
-            odds = odds_of[rows, None] * np.exp(-base).astype(np.float32) * odds_of[cols]
-            far = toxic * (1 + odds) - m * odds
-            hit = (m >= LEAST) & (2 * far * far >= 0.99 * least * m * odds)
-            a, b = np.nonzero(hit)
-            hit[a, b] = _beyond(m[a, b], toxic[a, b], base + logit[rest[rows][a]] + logit[rest[cols][b]]) >= least
-            hit &= rest[rows, None] != rest[cols]
-            passed[rest[rows][hit.any(axis=1)]] = True
-            passed[rest[cols][hit.any(axis=0)]] = True
+    size = have[rest]
+    own = by_place[np.repeat(bounds[rest] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    pairs = Pairs(own.astype(np.int32), np.r_[0, np.cumsum(size)], labels.astype(np.float32), logit[rest], float(base), float(least), PAIR_BLOCK)
+    passed[rest[pairs.passing(spark)]] = True
     return known[passed]
 
 
-def fit_machine(place: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int = 11) -> FactorMachine:
+@dataclass
+class Pairs:
+    """Places that say nothing alone, and which of them do in a pair."""
+
+    docs: np.ndarray  # of the first place, then of the second, ...
+    bounds: np.ndarray
+    truth: np.ndarray
+    logit: np.ndarray
+    base: float
+    least: float
+    size: int  # places of a block
+
+    def _cells(self, block: int) -> np.ndarray:
+        """Places x documents of a block of places: 1 where the document has the place."""
+        a, b = block * self.size, min((block + 1) * self.size, len(self.logit))
+        out = np.zeros((b - a, len(self.truth)), dtype=np.float32)
+        out[np.repeat(np.arange(b - a), np.diff(self.bounds[a : b + 1])), self.docs[self.bounds[a] : self.bounds[b]]] = 1
+        return out
+
+    def between(self, one: int, two: int) -> np.ndarray:
+        """The places of two blocks that pass in a pair of one of each."""
+        x, y = self._cells(one), self._cells(two).T
+        rows, cols = one * self.size + np.arange(len(x)), two * self.size + np.arange(y.shape[1])
+        m, toxic = x @ y, (x * self.truth) @ y
+        # the statistic is 2 (toxic - m q)**2 / (m q (1 - q)) at most; only where that may reach `least` it is computed
+        odds_of = np.exp(self.base + self.logit).astype(np.float32)
+        odds = odds_of[rows, None] * np.exp(-self.base).astype(np.float32) * odds_of[cols]
+        far = toxic * (1 + odds) - m * odds
+        hit = (m >= LEAST) & (2 * far * far >= 0.99 * self.least * m * odds)
+        a, b = np.nonzero(hit)
+        hit[a, b] = _beyond(m[a, b], toxic[a, b], self.base + self.logit[rows[a]] + self.logit[cols[b]]) >= self.least
+        hit &= rows[:, None] != cols
+        return np.unique(np.r_[rows[hit.any(axis=1)], cols[hit.any(axis=0)]])
+
+    def passing(self, spark: SparkSession | None) -> np.ndarray:
+        blocks = -(-len(self.logit) // self.size)
+        met = [(a, b) for a in range(blocks) for b in range(a, blocks)]
+        if not met:
+            return np.zeros(0, dtype=np.int64)
+        if spark is None:
+            return np.unique(np.concatenate([self.between(a, b) for a, b in met]))
+        held = spark.sparkContext.broadcast(self)  # as bounded as the sample
+
+        def run(batches):
+            for batch in batches:
+                some = [held.value.between(*met[k]) for k in batch.column("id").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(some)) if some else np.zeros(0, dtype=np.int64))], names=["place"])
+
+        parts = min(len(met), 4 * spark.sparkContext.defaultParallelism)
+        found = np.unique(spark.range(0, len(met), 1, parts).mapInArrow(run, "place long").toArrow().column("place").to_numpy())
+        held.destroy()
+        return found
+
+
+def fit_machine(place: np.ndarray, first: np.ndarray, labels: np.ndarray, seed: int = 11, spark: SparkSession | None = None) -> FactorMachine:
     labels = np.asarray(labels, dtype=float)
     learns = len(labels) > 0 and labels.min() < labels.max()
-    chosen = telling(place, first, labels) if learns else place[:0]
+    chosen = telling(place, first, labels, spark) if learns else place[:0]
     rng = np.random.default_rng(seed)
     table = IntTable(chosen, np.arange(len(chosen), dtype=np.int32))
     machine = FactorMachine(table, np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS)), 0.0)
@@ -195,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None,
         return fit_machine(np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0))
     place = pa.compute.list_flatten(got["terms"]).to_numpy().astype(np.int64)
     first = np.r_[0, np.cumsum(pa.compute.list_value_length(got["terms"]).to_numpy())].astype(np.int64)
-    return fit_machine(place, first, got["label"].to_numpy().astype(float))
+    return fit_machine(place, first, got["label"].to_numpy().astype(float), spark=docs.sparkSession)
 
 
 def score_toxicity(docs: DataFrame, machine: FactorMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -106,7 +106,7 @@ def test_pairs_are_learned_with_production_constants():
     assert ((m.logits(row[row >= 0], np.r_[0, np.cumsum(row >= 0)][first]) > 0) == y).mean() > 0.95
 
 
-def test_a_neutral_mention_is_screened_in():
+def test_a_neutral_mention_is_screened_in(spark, monkeypatch):
     """Insult and mention are toxic together only; the mention's own share of the label is the base rate."""
     rng = np.random.default_rng(4)
     rows, y = [], []
@@ -118,6 +118,8 @@ def test_a_neutral_mention_is_screened_in():
     place, first = np.concatenate(rows), np.r_[0, np.cumsum([len(r) for r in rows])]
     got = set(toxicity.telling(place, first, np.array(y)).tolist())
     assert {1, 2, 3, 4} <= got and len(got) < 12
+    monkeypatch.setattr(toxicity, "PAIR_BLOCK", 50)  # many blocks, dealt to tasks: the same places
+    assert set(toxicity.telling(place, first, np.array(y)).tolist()) == got == set(toxicity.telling(place, first, np.array(y), spark).tolist())
 
 
 def test_the_logit_is_a_sum_over_all_pairs():
