@@ -8,8 +8,9 @@ alike, so the first that it leaves alone is among the PREFIX = 3 rarest of both
 A shared bigram says more than its name: the edit lies wholly right of it or wholly left.  If right, both words begin
 alike up to the bigram, at the same position; if left, they end alike from the bigram on, at positions as far apart as
 the lengths are.  Of the side with the edit, one of its two halves is left alone as well.  All this is part of the key of
-the join, with the length of the shorter word: a key fixes a bigram, its place and at least half of the letters, so no
-common bigram gathers a large part of the vocabulary, and no list of pairs is ever made: the join itself verifies.
+the join, with the length of the shorter word; only a side of FREE letters is left free.  So a key fixes a bigram, its
+place and at least half of the letters, no common bigram gathers a large part of the vocabulary, and no list of pairs is
+ever made: the join itself verifies.  Keys go by a 64-bit hash; two that share one only meet in vain.
 
 A word's form is the most frequent of the words near it, if it is FACTOR times as frequent; forms are followed to their
 roots by doubling, in as many rounds as the logarithm of the longest chain, each with a checkpoint in the shared folder.
@@ -30,11 +31,13 @@ from pyspark.sql import functions as F
 
 from nearfold.llm.texts import checkpoint, quoted
 
-WORD = r"[A-Za-zÀ-ÿ]+"
+LETTERS = "[A-Za-zÀ-ÿ]"
 #: Code points, and occurrences, that a word has at least.
 LENGTH, OCCURRENCES = 7, 2
 #: Rarest bigrams of a word that are joined: one edit destroys two.
 PREFIX = 3
+#: Letters on the side of the edit up to which the key of the join leaves them all free.
+FREE = 2
 #: How many times as frequent as a word its form is.
 FACTOR = 10
 #: A run of letters loses a code point where this divides its checksum.
@@ -42,9 +45,9 @@ PLANTED = 31
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def runs_of_letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, run): every run of letters of every text, A-Z lower-cased."""
-    found = F.explode(F.regexp_extract_all(F.col(quoted(text_col)), F.lit(WORD), F.lit(0)))
+def runs_of_letters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """(id, run): every maximal run of `length` letters or more of every text, A-Z lower-cased: shorter ones make no words."""
+    found = F.explode(F.regexp_extract_all(F.col(quoted(text_col)), F.lit(f"{LETTERS}{{{length},}}"), F.lit(0)))
     return docs.select(F.col(quoted(id_col)).alias("id"), found.alias("run")).select("id", F.translate("run", _UPPER, _LOWER).alias("run"))
 
 
@@ -79,13 +82,16 @@ def keys_of(word: str, rank: dict[str, int], own: bool) -> set[str]:
         left, right = word[:p], word[p + 2 :]
         t = len(right) - less
         if t >= 0:  # the edit lies right of the bigram
-            h = t // 2
-            out |= {f"{n - less}>{p} {word[: p + 2 + h]}", f"{n - less}>{p} {word[: p + 2]} {right[len(right) - (t - h) :]}"}
+            h = t // 2 if t > FREE else 0
+            out.add(f"{n - less}>{p} {word[: p + 2 + h]}")
+            if h:
+                out.add(f"{n - less}>{p} {word[: p + 2]} {right[len(right) - (t - h) :]}")
         t = len(left) - less
         if t >= 0:  # left of it; positions are told from the end
-            h = t // 2
-            end = n - p
-            out |= {f"{n - less}<{end} {word[p:]} {left[:h]}", f"{n - less}<{end} {word[len(left) - (t - h) :]}"}
+            h = t // 2 if t > FREE else 0
+            out.add(f"{n - less}<{n - p} {word[p:]} {left[:h]}")
+            if h:
+                out.add(f"{n - less}<{n - p} {word[len(left) - (t - h) :]}")
     return out
 
 
@@ -101,7 +107,7 @@ def near_words(vocab: DataFrame) -> DataFrame:
                 at = pa.array([a for _, a in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), b.column("word").take(at), b.column("n").take(at)], names=["key", "word", "n"])
 
-        return vocab.mapInArrow(run, "key string, word string, n long")
+        return vocab.mapInArrow(run, "key string, word string, n long").select(F.xxhash64("key").alias("key"), "word", "n")
 
     one = keyed(True)
     same, longer = (x.select("key", F.col("word").alias("other"), F.col("n").alias("m")) for x in (one, keyed(False)))
