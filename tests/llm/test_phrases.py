@@ -202,18 +202,15 @@ def test_prefix_keys_meet_for_every_edit():
 
 
 def runs_plainly(w, least_words=6, least_periods=4):
+    """Period by period: stretches of places that agree with the place one period on."""
     out = set()
+    x = np.unique(np.array(list(w)), return_inverse=True)[1] if len(w) else np.zeros(0)
     for q in range(1, len(w) // least_periods + 1):
-        i = 0
-        while i + q < len(w):
-            if w[i] != w[i + q]:
-                i += 1
-                continue
-            s = i
-            while i + q < len(w) and w[i] == w[i + q]:
-                i += 1
-            n = i - s + q
-            if n >= max(least_words, least_periods * q) and not any(all(w[s + k] == w[s + k + r] for k in range(n - r)) for r in range(1, q)):
+        same = np.r_[False, x[:-q] == x[q:], False]
+        edge = np.flatnonzero(same[1:] != same[:-1])
+        for s, e in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+            n = e - s + q
+            if n >= max(least_words, least_periods * q) and not any((x[s : s + n - r] == x[s + r : s + n]).all() for r in range(1, q)):
                 out.add((s, n, q))
     return sorted(out, key=lambda x: (x[0], x[2]))
 
