@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -300,6 +301,29 @@ def test_training_lowers_the_loss_on_texts_kept_apart():
     assert after > start * 0.9
 
 
+def test_gradients_need_no_loss():
+    rng = np.random.default_rng(6)
+    m = attention.fit_model([rng.integers(0, 50, 300) for _ in range(4)], 60, steps=3)
+    c = rng.integers(0, attention.CLASSES, (5, attention.WINDOW + 2))
+    (loss, want), (none, got) = m.gradients(c), m.gradients(c, measured=False)
+    assert loss > 0 and none == 0 and all(np.array_equal(want[k], got[k]) for k in m.p)
+
+
+def test_windows_are_drawn_by_slices():
+    """The windows of each document by itself, as one after the other gives them; a batch for many documents, not each."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 60, n).astype(np.uint16) for n in (0, 1, 2, 47, 48, 49, 95, 96, 97, 1000, *rng.integers(0, 300, 290))]
+    want = []
+    for t in texts:
+        windows, rest = attention.cut_windows(attention.stream([t], 60))
+        want += [w.astype(np.uint16).tobytes() for w in [*windows, *([attention.last_window(rest)[0]] if len(rest) > 2 else [])]]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], names=["ids"])
+    for part in (1.0, 0.3):
+        got = list(lm_score._drawn([batch], 60, part))
+        assert len(got) == 1 and sorted(got[0].column(0).to_pylist()) == sorted(w for w in want if zlib.crc32(w) < part * 2.0**32)
+    assert all(b.num_rows == 0 for b in lm_score._drawn([batch.slice(0, 1), batch.slice(0, 0)], 60, 1.0))
+
+
 def test_word_ids_are_those_of_the_library():
     import sentencepiece
 
